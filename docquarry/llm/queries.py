@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import secret_scan, toxicity
+from docquarry.llm import mixing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": secret_scan.query,
+        "op3_mixing": mixing.query,
         "op10_toxicity": toxicity.query,
     }
 
