@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import mixing, near_join, packing, secret_scan, toxicity
+from docquarry.llm import fingerprint, mixing, near_join, packing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": secret_scan.query,
         "op3_mixing": mixing.query,
         "op5_near_join": near_join.query,
+        "op6_fingerprint": fingerprint.query,
         "op7_packing": packing.query,
         "op10_toxicity": toxicity.query,
     }
