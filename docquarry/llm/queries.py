@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import fingerprint, mixing, near_join, packing, secret_scan, toxicity
+from docquarry.llm import fingerprint, mixing, near_join, packing, quality_rules, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality_rules.query,
         "op2_secret_scan": secret_scan.query,
         "op3_mixing": mixing.query,
         "op5_near_join": near_join.query,
