@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import fingerprint, mixing, near_join, packing, quality_model, quality_rules, secret_scan, toxicity
+from docquarry.llm import chat, fingerprint, mixing, near_join, packing, quality_model, quality_rules, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprint": fingerprint.query,
         "op7_packing": packing.query,
         "op8_quality_model": quality_model.query,
+        "op9_chat": chat.query,
         "op10_toxicity": toxicity.query,
     }
 
