@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import chat, fingerprint, mixing, near_join, packing, quality_model, quality_rules, secret_scan, toxicity
+from docquarry.llm import chat, fingerprint, mixing, near_join, packing, passages, quality_model, quality_rules, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.query,
         "op2_secret_scan": secret_scan.query,
         "op3_mixing": mixing.query,
+        "op4_passages": passages.query,
         "op5_near_join": near_join.query,
         "op6_fingerprint": fingerprint.query,
         "op7_packing": packing.query,
