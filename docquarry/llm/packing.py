@@ -40,8 +40,10 @@ from docquarry.llm.common import materialize, table
 
 WINDOW = 4096
 END = 2
-#: Words whose ids a worker keeps; a full cache starts anew.
-CACHE = 400_000
+#: Words whose ids a worker keeps in each of two generations, and texts it cuts at a time.
+CACHE, BLOCK = 500_000, 512
+#: Letters below this one stay one letter each when their case is changed.
+SIMPLE = "\u0130"
 
 # ---------------------------------------------------------------- planning
 
@@ -139,19 +141,63 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
 
 # ---------------------------------------------------------------- tokens
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, Words] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    """This worker's tokenizer and its cache of words; both live as long as the worker."""
-    if path not in _tokenizers:
+class Words:
+    """Ids of words (texts without blanks), found once and kept; of two generations the older goes when the newer is full."""
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Make sure that self.ids has all the words."""
+        if len(self.ids) > CACHE:
+            self.older, self.ids = self.ids, {}
+        new = words.difference(self.ids)
+        known = new.intersection(self.older)
+        self.ids.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        new.difference_update(known)
+        # letters and the stops after them are tokens apart, and case does not count
+        cores = [w.rstrip(",.") for w in new]
+        simple = [c.isalpha() and (c.isascii() or max(c) < SIMPLE) for c in cores]
+        rest = [w for w, s in zip(new, simple, strict=True) if not s]
+        letters = [(w, c.lower(), w[len(c) :]) for w, c, s in zip(new, cores, simple, strict=True) if s]
+        rest += {t for _, _, t in letters}.difference(self.ids, rest)
+        self._alone(rest)
+        self._together([*{c for _, c, _ in letters}.difference(self.ids)])
+        ids = self.ids
+        ids.update([(w, ids[c] + ids[t]) for w, c, t in letters if t or w != c])
+
+    def _alone(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+            self.ids[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def _together(self, words: list[str]) -> None:
+        """Words of simple letters, each of which is one run of letters to the tokenizer, in one call."""
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, owner = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
+            cut = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
+            raw = ids.tobytes()
+            self.ids.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, cut[:-1], cut[1:], strict=True))
+
+
+def _same_case(text: str) -> str:
+    """The text in lower case, as the tokenizer would have it, if all its letters are simple."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()  # marks of special tokens are read before the case is changed
 
 
 def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
@@ -160,18 +206,13 @@ def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of
     its words in turn, and a word's ids need to be found only once.
     """
-    tokenizer, cache = _tokenizer(path)
-    block = 256
-    for at in range(0, len(texts), block):
-        split = [t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ") for t in texts[at : at + block]]
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list({w for words in split for w in words}.difference(cache))
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, np.uint32).tobytes()
-        get = cache.__getitem__
-        for words in split:
-            yield np.frombuffer(b"".join(map(get, words)), np.uint32)
+    words = _tokenizers.get(path) or _tokenizers.setdefault(path, Words(path))
+    for at in range(0, len(texts), BLOCK):
+        split = [_same_case(t).replace("\n", " ").split(" ") for t in texts[at : at + BLOCK]]
+        words.learn({w for some in split for w in some})
+        get = words.ids.__getitem__
+        for some in split:
+            yield np.frombuffer(b"".join(map(get, some)), np.uint32)
 
 
 def tokenize(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
