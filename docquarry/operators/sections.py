@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from docquarry.functions.text import title
 
@@ -15,15 +16,17 @@ LEAD_IN = r"(?i)following tables?|tables? below"
 FRONT_MATTER, FINANCIALS = "Front matter", "Item 18. Financial Statements"
 HEADING_CHARS, RUNNING_PAGES, LEAD_IN_CHARS = 120, 5, 400
 
-_DOC = Window.partitionBy("doc_id").orderBy("block_seq")
 
+def _along(*part: str) -> WindowSpec:
+    return Window.partitionBy("doc_id", *part).orderBy("block_seq")
 
-def _so_far(w: Window = _DOC):
-    return w.rowsBetween(Window.unboundedPreceding, 0)
 
+def _so_far(*part: str) -> WindowSpec:
+    return _along(*part).rowsBetween(Window.unboundedPreceding, 0)
 
-def _earlier(w: Window = _DOC):
-    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+def _earlier(*part: str) -> WindowSpec:
+    return _along(*part).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_labels(blocks: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def with_labels(blocks: DataFrame) -> DataFrame:
 
 def with_lead_ins(blocks: DataFrame) -> DataFrame:
     """A table's caption starts with the text before it if that leads in to it; long ones with their last sentence."""
-    before, kind = F.lag("text").over(_DOC), F.lag("kind").over(_DOC)
+    before, kind = F.lag("text").over(_along()), F.lag("kind").over(_along())
     rows = blocks.withColumn("before", F.when((F.col("kind") == "table") & (kind != "table") & (before.endswith(":") | before.rlike(LEAD_IN)), before))
     last = F.element_at(F.split("before", r"\. "), -1)
     lead = F.when(F.length("before") > LEAD_IN_CHARS, F.substring(last, F.greatest(F.lit(1), F.length(last) - LEAD_IN_CHARS + 1), F.lit(LEAD_IN_CHARS))).otherwise(F.col("before"))
@@ -79,16 +82,14 @@ def with_sections(blocks: DataFrame) -> DataFrame:
     name = F.trim(F.concat(F.lit("Item "), F.col("key.number").cast("string"), F.col("key.letter"), F.lit(". "), title(F.col("key.name"))))
     rows = rows.withColumn("item_text", F.when(F.col("is_item"), name).when(F.col("fin0"), F.lit(FINANCIALS)))
     rows = rows.withColumn("item", F.last("item_text", True).over(_so_far())).withColumn("seg", F.sum((F.col("is_item") | F.col("fin0")).cast("int")).over(_so_far()))
-    seg = Window.partitionBy("doc_id", "seg").orderBy("block_seq")
     letter = F.when(is_text & ~F.col("is_item") & F.col("item").isNotNull() & short & ~F.col("fin") & text.rlike(SUBITEM) & ~text.endswith("."), F.regexp_extract("text", SUBITEM, 1))
     rows = rows.withColumn("letter", letter)
-    rows = rows.withColumn("is_sub", F.coalesce(F.col("letter") > F.coalesce(F.max("letter").over(_earlier(seg)), F.lit("")), F.lit(False)))
+    rows = rows.withColumn("is_sub", F.coalesce(F.col("letter") > F.coalesce(F.max("letter").over(_earlier("seg")), F.lit("")), F.lit(False)))
     sub = F.when(F.col("is_sub"), F.concat(F.col("letter"), F.lit(". "), title(F.regexp_extract("text", SUBITEM, 2))))
-    rows = rows.withColumn("subitem", F.coalesce(F.last(sub, True).over(_so_far(seg)), F.lit(""))).withColumn("sseg", F.sum(F.col("is_sub").cast("int")).over(_so_far(seg)))
+    rows = rows.withColumn("subitem", F.coalesce(F.last(sub, True).over(_so_far("seg")), F.lit(""))).withColumn("sseg", F.sum(F.col("is_sub").cast("int")).over(_so_far("seg")))
     is_topic = is_text & ~F.col("is_item") & ~F.col("is_sub") & F.col("is_bold") & short & ~text.endswith(".") & text.rlike("[A-Za-z]{3}") & F.col("running").isNull()
     rows = rows.withColumn("is_topic", is_topic)
-    sseg = Window.partitionBy("doc_id", "seg", "sseg").orderBy("block_seq")
-    topic = F.last(F.when(F.col("is_topic"), text), True).over(_so_far(sseg))
+    topic = F.last(F.when(F.col("is_topic"), text), True).over(_so_far("seg", "sseg"))
     level = F.when(F.col("is_item"), 1).when(F.col("is_sub"), 2).when(F.col("is_topic"), 3).otherwise(0)
     item = F.coalesce("item", F.lit(FRONT_MATTER))
     section = F.concat_ws(" > ", item, F.when(F.col("subitem") != "", F.col("subitem")), topic)
