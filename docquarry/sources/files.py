@@ -85,15 +85,20 @@ def read_blocks(spark: SparkSession, glob: str) -> DataFrame:
     return out
 
 
+def _decoded(raw: bytes) -> str:
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return raw.decode("cp1252", errors="replace")
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Question rows, UTF-8 with or without mark, else cp1252; the header must be exactly QUESTION.
 
-    Question lists are files that people keep by hand; Spark decodes them as whole files.
+    Question lists are files that people keep by hand; they are decoded as whole files.
     """
-    raw = F.col("content")
-    utf8 = F.call_function("try_validate_utf8", raw.cast("string"))
-    text = F.coalesce(utf8, F.decode(raw, "windows-1252"))
-    lines = spark.read.format("binaryFile").load(path).select(F.regexp_replace(text, "^﻿", "").alias("text"))
+    text = F.pandas_udf(lambda raw: raw.map(_decoded), "string")(F.col("content"))
+    lines = spark.read.format("binaryFile").load(path).select(text.alias("text"))
     head = [r["h"] for r in lines.select(F.trim(F.split("text", "\n")[0]).alias("h")).distinct().limit(2).collect()]
     if head != [",".join(QUESTION)]:
         raise ValueError(f"the header of {path} is {head}, not {','.join(QUESTION)}")
