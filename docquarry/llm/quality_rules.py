@@ -107,8 +107,8 @@ class Condition:
     above: bool
     cut: float
 
-    def column(self) -> Column:
-        return feature(self.feature) > self.cut if self.above else feature(self.feature) <= self.cut
+    def column(self, features: Column) -> Column:
+        return features[self.feature] > self.cut if self.above else features[self.feature] <= self.cut
 
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.cut:g}"
@@ -122,11 +122,12 @@ def learn(stats: DataFrame, p: Params = Params()) -> list[Rule]:
     levels = [k / (p.cuts + 1) for k in range(1, p.cuts + 1)]
     row = stats.select(*[F.percentile_approx(feature(n), levels, 10_000).alias(n) for n in FEATURES]).first()
     cuts = {n: sorted(set(row[n] or [])) for n in FEATURES}
-    bins = [_bin(feature(n), cuts[n]).alias(n) for n in FEATURES]
-    cells = stats.select(*bins, F.col("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prunes")).groupBy(*FEATURES, "label", "prunes").count()
+    names = [f"bin_{n}" for n in FEATURES]  # not the statistics' own names, which later expressions of the same select would then mean
+    bins = [_bin(feature(n), cuts[n]).alias(b) for n, b in zip(FEATURES, names, strict=True)]
+    cells = stats.select(*bins, F.col("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prunes")).groupBy(*names, "label", "prunes").count()
     grow, prune = [], []
     for r in cells.collect():  # no more cells than sampled rows
-        (prune if r["prunes"] else grow).append((tuple(r[n] for n in FEATURES), r["label"] == 0, r["count"]))
+        (prune if r["prunes"] else grow).append((tuple(r[n] for n in names), r["label"] == 0, r["count"]))
     return [tuple(Condition(FEATURES[f], above, cuts[FEATURES[f]][k]) for f, above, k in rule) for rule in cover(grow, prune, [len(cuts[n]) for n in FEATURES], p)]
 
 
@@ -197,14 +198,22 @@ def _best_test(cells: list[Cell], sizes: list[int], p: Params) -> Test | None:
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """False where a rule covers the row, by the first that does; true elsewhere."""
-    out = None
-    for rule in rules:
-        held = rule[0].column()
-        for c in rule[1:]:
-            held = held & c.column()
-        out = F.when(held, F.lit(False)) if out is None else out.when(held, F.lit(False))
-    return F.lit(True) if out is None else out.otherwise(F.lit(True))
+    """False where a rule covers the row, by the first that does; true elsewhere.
+
+    The ordered CASE reads a struct of the features it needs, made once for each row.
+    """
+    names = sorted({c.feature for rule in rules for c in rule})
+
+    def decide(features: Column) -> Column:
+        out = F
+        for rule in rules:
+            held = rule[0].column(features)
+            for c in rule[1:]:
+                held = held & c.column(features)
+            out = out.when(held, F.lit(False))
+        return out.otherwise(F.lit(True))
+
+    return let(F.struct(*[feature(n).alias(n) for n in names]), decide) if rules else F.lit(True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> list[Rule]:
