@@ -23,7 +23,8 @@ from docquarry.llm.common import materialize, table
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     p = toxicity.Params()
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), p)
-    return toxicity.score(docs, model, p, "toxicity_score").where(F.col("toxicity_score") < p.threshold).select(*docs.columns)
+    name = "toxicity_score" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    return toxicity.score(docs, model, p, name).where(F.col(name) < p.threshold).drop(name)
 
 
 def near_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

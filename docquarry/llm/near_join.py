@@ -234,10 +234,12 @@ def digest_of(text: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each class, the one with the least doc_id; rows without an id stay."""
+    """docs with one document of each class, the one with the least doc_id; rows without an id stay, and so do repeated rows of what is kept."""
     of = classes(docs, similarity)
-    gone = of.where((F.col("doc_id") != F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = of.where(F.col("doc_id") != F.col("class_id")).select(F.struct("doc_id", "digest").alias("gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest_of(docs["text"]).alias("digest"))  # a struct, so that no name clashes
+    same = (F.col("row.doc_id") == F.col("gone.doc_id")) & (F.col("digest") == F.col("gone.digest"))
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str, similarity: float = SIMILARITY) -> DataFrame:
