@@ -24,5 +24,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Every pair of distinct texts by its shared shingles, and classes by reachability.
+NEAR_JOIN = r"""
+with recursive
+  texts as (select text, min(doc_id) node, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents where doc_id is not null group by text),
+  sh as (select distinct node, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+           else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from texts),
+  n as (select node, count(*) n from sh group by node),
+  meet as (select a.node a, b.node b, count(*) c from sh a join sh b on a.s = b.s and a.node < b.node group by all),
+  link as (select a, b from meet join n x on x.node = a join n y on y.node = b where c >= 0.8 * (x.n + y.n - c) - 1e-9),
+  edge as (select a, b from link union all select b, a from link),
+  reach(node, root) as (select node, node from texts union select b, root from reach join edge on a = node),
+  class as (select node, min(root) class_id from reach group by node),
+  degree as (select a node, count(*) n_links from edge group by a)
+select d.doc_id, class_id, coalesce(n_links, 0) n_links
+from (select distinct doc_id, text from documents where doc_id is not null) d
+join texts t on d.text is not distinct from t.text join class using (node) left join degree using (node)
+"""
+
+#: Digests of the turns as they are, and the length that the template gives the examples.
+CHAT = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, k, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(k, r)),
+  p as (select *, length(text) + length(text) - length(replace(text, '\', ''))
+          + len(regexp_extract_all(replace(text, '\', '\\'), '<s>|</s>|\[/?SYS\]|\[/?INST\]|\[ANS\]|\[/?ROLE\]|\[/TURN\]'))
+          + case role when 'system' then 11 when 'user' then 13 when 'assistant' then 9 else 20 + length(role) end n from t),
+  x as (select *, 3 + sum(n) over (partition by conv_id order by turn) up_to, row_number() over (partition by conv_id order by turn desc) from_end from p)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(up_to) filter (where role = 'assistant' or from_end = 1) as bigint) as formatted_chars
+from x group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_near_join": NEAR_JOIN, "op9_chat": CHAT}
