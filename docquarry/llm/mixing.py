@@ -28,6 +28,8 @@ from docquarry.llm.common import SEPARATORS, WORD, materialize, table
 
 SLICES = 1024
 EPOCHS = 2
+#: Sources up to which their table is broadcast.
+BROADCAST = 10_000
 #: Share of all sizes that the query mixes, in percent, and its sources' weights, repeating.
 PERCENT = 150
 WEIGHTS = (3, 1, 2)
@@ -56,8 +58,8 @@ def water_fill(sizes: list[int], weights: list[int], budget: Fraction, epochs: i
     return target
 
 
-def plan(sized: DataFrame, percent: int = PERCENT, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """A row for each source: its size, target, whole repetitions and the words of the fraction.
+def plan(sized: DataFrame, percent: int = PERCENT, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> tuple[DataFrame, bool]:
+    """A row for each source (its size, target, whole repetitions and the words of the fraction), and whether they are few enough to broadcast.
 
     Only the sources' totals, one row each, reach the driver.
     """
@@ -71,14 +73,18 @@ def plan(sized: DataFrame, percent: int = PERCENT, weights: tuple[int, ...] = WE
         whole = int(t // r["source_size"]) if r["source_size"] else 0
         out.append((r["source"], r["source_size"], float(t), whole, int(t - whole * r["source_size"])))
     schema = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("whole", T.LongType()), ("part", T.LongType()))])
-    return sized.sparkSession.createDataFrame(out, schema)
+    return sized.sparkSession.createDataFrame(out, schema), len(out) <= BROADCAST
 
 
-def mix(sized: DataFrame, sources: DataFrame, seed: int = 0) -> DataFrame:
+def mix(sized: DataFrame, planned: tuple[DataFrame, bool], seed: int = 0) -> DataFrame:
     """sized (doc_id, source, size) with its source's figures and the words taken of each row.
 
-    `sized` should be a written table, as it is read three times.
+    `sized` should be a written table, as it is read three times. With more sources than may
+    be broadcast the joins are shuffled, and Spark splits those of large sources.
     """
+    sources, few = planned
+    hint = F.broadcast if few else lambda df: df
+    sources = hint(sources)
     slot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SLICES)).cast("int")
     sized = sized.withColumn("slot", slot)
     sums = sized.groupBy("source", "slot").agg(F.sum("size").alias("words"))
@@ -92,7 +98,7 @@ def mix(sized: DataFrame, sources: DataFrame, seed: int = 0) -> DataFrame:
     joined = (
         sized.join(sources, sized["source"].eqNullSafe(sources["source"]), "left")
         .drop(sources["source"])
-        .join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("end_source")), "left")  # a row for each source at most, from driver-made rows
+        .join(hint(ends), F.col("source").eqNullSafe(F.col("end_source")), "left")  # a row for each source at most
     )
     # without an end (the fraction is the whole source, which only a source of size 0 has) nothing is left out
     inside = joined.where(F.col("slot").eqNullSafe(F.col("end_slot")))
@@ -113,17 +119,19 @@ def query(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
 
 
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs (unique doc_id) as often as its words are taken: whole copies, then a last one cut to the words that are left.
+    """docs as often as its words are taken: whole copies, then a last one cut to the words that are left.
 
-    Rows taken 0 words go. n_chars, where there is one, is counted anew.
+    Rows taken 0 words go; of rows with equal ids and sizes each is taken as the most taken
+    of them. n_chars, where there is one, is counted anew in cut copies.
     """
-    size, taken = F.col("mix.size"), F.col("mix.taken")
-    chosen = mixed.where(F.col("taken") > 0).select(F.col("doc_id").alias("mix_id"), F.struct("size", "taken").alias("mix"))
-    copies = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((taken - 1) / size))))
-    words = F.least(size, taken - F.col("mix_copy") * size)
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(SEPARATORS[:-1] + "*" + WORD), F.lit(0))
-    text = F.when(words < size, F.array_join(F.slice(pieces, 1, words.cast("int")), "")).otherwise(F.col("text"))
-    copies = copies.withColumn("text", text)
+    row, size, taken = F.col("row"), F.col("mix.size"), F.col("mix.taken")
+    chosen = mixed.where(F.col("taken") > 0).groupBy("doc_id", "size").agg(F.max("taken").alias("taken")).select(F.struct("doc_id", "size", "taken").alias("mix"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), word_count(docs["text"]).alias("size"))  # a struct, so that no name clashes
+    copies = rows.join(chosen, row["doc_id"].eqNullSafe(F.col("mix.doc_id")) & (F.col("size") == size)).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((taken - 1) / size))))
+    words = F.least(size, taken - F.col("copy") * size)
+    pieces = F.regexp_extract_all(row["text"], F.lit(SEPARATORS[:-1] + "*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(pieces, 1, words.cast("int")), "")
+    shorter = row.withField("text", cut)
     if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.when(words < size, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return copies.select(*docs.columns)
+        shorter = shorter.withField("n_chars", F.char_length(cut).cast(docs.schema["n_chars"].dataType))
+    return copies.select(F.when(words < size, shorter).otherwise(row).alias("row")).select("row.*")
