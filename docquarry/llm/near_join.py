@@ -117,7 +117,7 @@ def nodes(docs: DataFrame, trees: int = TREES, length: int | None = None) -> Dat
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(digest, pa.binary()), pa.array(empty), lists], ["doc_id", "digest", "empty", "keys"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, empty boolean, keys array<long>")
+    return rows.mapInArrow(tn.tidy(run), "doc_id long, digest binary, empty boolean, keys array<long>")
 
 
 def _met_before(keys: np.ndarray, rows: np.ndarray, others: np.ndarray, tree: int) -> np.ndarray:

@@ -36,14 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.llm import textnum as tn
 from docquarry.llm.common import materialize, table
 
 WINDOW = 4096
 END = 2
-#: Words whose ids a worker keeps in each of two generations, and texts it cuts at a time.
-CACHE, BLOCK = 500_000, 512
-#: Letters below this one stay one letter each when their case is changed.
-SIMPLE = "\u0130"
+#: Words whose ids a worker keeps, and bytes of text it looks up at a time.
+CACHE, PIECE = 1_500_000, 3 << 19
 
 # ---------------------------------------------------------------- planning
 
@@ -143,9 +142,26 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
 
 _tokenizers: dict[str, Words] = {}
 
+_STOP = np.zeros(256, bool)
+_STOP[[44, 46]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True
+
+
+def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes in lower case up to U+00FF, and which of them belong to letters up to there."""
+    low, letter = tn.LOWER[data], _LETTER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    value = data[second]
+    signs = (value == 0x97) | (value == 0xB7)  # the signs of multiplication and division are no letters
+    low[second] = np.where((value < 0x9F) & ~signs, value + 32, value)
+    letter[second] = ~signs
+    letter[second - 1] = ~signs
+    return low, letter
+
 
 class Words:
-    """Ids of words (texts without blanks), found once and kept; of two generations the older goes when the newer is full."""
+    """Ids of words, found once by a worker and kept in sorted arrays under the words' hashes."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -154,65 +170,82 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Make sure that self.ids has all the words."""
-        if len(self.ids) > CACHE:
-            self.older, self.ids = self.ids, {}
-        new = words.difference(self.ids)
-        known = new.intersection(self.older)
-        self.ids.update(zip(known, map(self.older.__getitem__, known), strict=True))
-        new.difference_update(known)
-        # letters and the stops after them are tokens apart, and case does not count
-        cores = [w.rstrip(",.") for w in new]
-        simple = [c.isalpha() and (c.isascii() or max(c) < SIMPLE) for c in cores]
-        rest = [w for w, s in zip(new, simple, strict=True) if not s]
-        letters = [(w, c.lower(), w[len(c) :]) for w, c, s in zip(new, cores, simple, strict=True) if s]
-        rest += {t for _, _, t in letters}.difference(self.ids, rest)
-        self._alone(rest)
-        self._together([*{c for _, c, _ in letters}.difference(self.ids)])
-        ids = self.ids
-        ids.update([(w, ids[c] + ids[t]) for w, c, t in letters if t or w != c])
-
-    def _alone(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def _together(self, words: list[str]) -> None:
-        """Words of simple letters, each of which is one run of letters to the tokenizer, in one call."""
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, owner = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
-            cut = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
-            raw = ids.tobytes()
-            self.ids.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, cut[:-1], cut[1:], strict=True))
-
-
-def _same_case(text: str) -> str:
-    """The text in lower case, as the tokenizer would have it, if all its letters are simple."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text if "<|" in text else text.lower()  # marks of special tokens are read before the case is changed
-
-
-def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Each text's ids without special ones.
-
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of
-    its words in turn, and a word's ids need to be found only once.
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes among the keys, and whether they are there."""
+        at = np.searchsorted(self.keys, hashes)
+        if not len(self.keys):
+            return at, np.zeros(len(hashes), bool)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == hashes
+
+    def learn(self, hashes: np.ndarray, words: list[str], simple: np.ndarray) -> None:
+        """New words with their sorted, distinct hashes; simple ones are one run of letters each to the tokenizer, so many go in one call."""
+        ids: list = [None] * len(words)
+        rest = np.flatnonzero(~simple).tolist()
+        for i, e in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        easy = np.flatnonzero(simple).tolist()
+        for k in range(0, len(easy), 1000):
+            some = easy[k : k + 1000]
+            found = self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False)
+            flat = found.ids
+            cut = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
+            for i, a, b in zip(some, cut[:-1], cut[1:], strict=True):
+                ids[i] = flat[a:b]
+        size = np.array([len(x) for x in ids], np.int64)
+        place, _ = self.find(hashes)  # the hashes are sorted, and so stay the keys
+        self.keys = np.insert(self.keys, place, hashes)
+        self.at = np.insert(self.at, place, len(self.pool) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.pool = np.concatenate((self.pool, np.array([x for y in ids for x in y], np.uint32)))
+
+
+def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """Each text's ids without special ones; null counts as empty.
+
+    The tokenizer drops white space, joins nothing across it, and takes letters and the stops
+    after them apart, without regard to case. So a text's ids are those of its parts in turn,
+    and the parts of a whole batch are looked up at once. Texts that may hold special tokens
+    go to the tokenizer as they are.
     """
-    words = _tokenizers.get(path) or _tokenizers.setdefault(path, Words(path))
-    for at in range(0, len(texts), BLOCK):
-        split = [_same_case(t).replace("\n", " ").split(" ") for t in texts[at : at + BLOCK]]
-        words.learn({w for some in split for w in some})
-        get = words.ids.__getitem__
-        for some in split:
-            yield np.frombuffer(b"".join(map(get, some)), np.uint32)
+    known = _tokenizers.get(path) or _tokenizers.setdefault(path, Words(path))
+    for a, b, data, offsets in tn.pieces(texts, PIECE):
+        if len(known.keys) > CACHE:
+            known.forget()
+        low, letter = _lowered(data)
+        starts, ends, docs = tn.words(low, offsets)
+        last = np.maximum.accumulate(np.where(_STOP[low], -1, np.arange(len(low))))  # last byte so far that is no stop
+        core = np.maximum(last[ends - 1] + 1, starts) if len(ends) else ends
+        other = np.concatenate(([0], np.cumsum(~letter)))
+        simple = (core > starts) & (other[core] == other[starts])
+        core = np.where(simple, core, ends)
+        parts = 1 + (core < ends)
+        first = np.cumsum(parts) - parts
+        total = int(parts.sum())
+        lo, hi, plain = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, bool)
+        lo[first], hi[first], plain[first] = starts, core, simple
+        two = np.flatnonzero(parts == 2)
+        lo[first[two] + 1], hi[first[two] + 1] = core[two], ends[two]
+        hashes, sample, which = np.unique(tn.word_hashes(low, lo, hi), return_index=True, return_inverse=True)
+        _, there = known.find(hashes)
+        if not there.all():
+            new = sample[~there]
+            raw = low.tobytes()
+            known.learn(hashes[~there], [raw[x:y].decode() for x, y in zip(lo[new].tolist(), hi[new].tolist(), strict=True)], plain[new])
+        at, _ = known.find(hashes)
+        size, begin = known.size[at][which], known.at[at][which]
+        flat = known.pool[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        cut = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(docs, parts), size, b - a)))).astype(np.int64)
+        special = set((np.searchsorted(offsets, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1).tolist())
+        for i in range(b - a):
+            if i in special:
+                yield np.array(known.tokenizer.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+            else:
+                yield flat[cut[i] : cut[i + 1]]
 
 
 def tokenize(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -228,9 +261,9 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -
 
         rows, held = [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                for doc, ids in zip(some.column(0).to_pylist(), token_ids([t or "" for t in some.column(1).to_pylist()], path), strict=True):
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
+                for doc, ids in zip(some.column(0).to_pylist(), token_ids(some.column(1), path), strict=True):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
@@ -244,7 +277,7 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -
             yield table_(rows)
 
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, part long, number long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tn.tidy(run), schema)
 
 
 # ---------------------------------------------------------------- placing
@@ -282,7 +315,7 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     numbered = pieces.join(first.select("part", "length", "first"), ["part", "length"]).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("first") + F.col("number")).alias("number"))
-    return numbered.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return numbered.mapInArrow(tn.tidy(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def _layers(rows: list[tuple[int, ...]]) -> list[tuple[np.ndarray, ...]]:

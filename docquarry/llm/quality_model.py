@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), label: str = "
         yield pa.RecordBatch.from_pylist([{"base": t.base, "feature": t.feature.ravel().tolist(), "cut": t.cut.ravel().tolist(), "leaf": t.leaf.ravel().tolist()}])
 
     sample = labelled_sample(docs, labels, label, p.bound).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "label")
-    got = sample.mapInArrow(measure, "doc_id long, label int, x array<double>").repartition(1).mapInArrow(learn, fields).first()
+    got = sample.mapInArrow(tn.tidy(measure), "doc_id long, label int, x array<double>").repartition(1).mapInArrow(tn.tidy(learn), fields).first()
     if got is None:
         return train(np.zeros((0, len(NAMES))), np.zeros(0), p)
     return Trees(got["base"], np.array(got["feature"], np.int64).reshape(-1, inner), np.array(got["cut"]).reshape(-1, inner), np.array(got["leaf"]).reshape(-1, inner + 1))
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(statistics(batch.column(1))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tn.tidy(run), "doc_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str, p: Params = Params()) -> DataFrame:

@@ -168,7 +168,7 @@ def thresholds(docs: DataFrame, fdr: float = FDR) -> list[int]:
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tn.tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     table_ = np.zeros(2 * len(CLASSES) * BINS)
     for row in counted.collect():  # 2 * classes * bins rows at most
         table_[row["at"]] = row["n"]
@@ -226,7 +226,7 @@ def scan(docs: DataFrame, limits: list[int]) -> DataFrame:
             columns.append(pa.array([_joined(f) for f in found], pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tn.tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, limits: list[int], mark: str = "[secret]") -> DataFrame:
@@ -251,7 +251,7 @@ def redact(docs: DataFrame, limits: list[int], mark: str = "[secret]") -> DataFr
                 columns[k] = pa.array([len(t) if t is not None else n for t, n in zip(texts, columns[k].to_pylist(), strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tn.tidy(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str, fdr: float = FDR) -> DataFrame:

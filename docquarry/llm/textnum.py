@@ -7,7 +7,8 @@ word. A word's hash is a polynomial over 64-bit random values of its bytes, take
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows, of about `limit` bytes at most unless one text is longer."""
     data, offsets = buffers(texts)
     n, a = len(offsets) - 1, 0
@@ -114,5 +115,22 @@ def shingles(hashes: np.ndarray, docs: np.ndarray, n: int = 5) -> tuple[np.ndarr
     return mix(out[whole]), docs[:m][whole]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at its end the memory that the worker has freed goes back to the system; workers live on for later tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def counts(docs: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(docs, minlength=n).astype(np.int64)

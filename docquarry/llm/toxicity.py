@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), label: str = "
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w, bias))], ["at", "w"])
 
     sample = labelled_sample(docs, labels, label, p.bound).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "label")
-    got = sample.repartition(1).mapInArrow(learn, "at long, w double").toArrow()
+    got = sample.repartition(1).mapInArrow(tn.tidy(learn), "at long, w double").toArrow()
     at, w = got["at"].to_numpy(), got["w"].to_numpy()
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0), PRIOR
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], p: Param
             got = score_texts(batch.column("text"), dense, bias, p.bits)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*fields, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tn.tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str, p: Params = Params()) -> DataFrame:
