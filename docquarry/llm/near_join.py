@@ -1,13 +1,14 @@
-"""N-gram Jaccard join: MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash bands of fixed length with exact verification.
 
 Texts are sets of five-word shingles; two texts are linked if the Jaccard similarity of
 their sets is 0.8 or more. The steps:
 
 1. Equal texts are one node, represented by the least doc_id; copies follow as members.
-2. A forest of TREES prefix tries holds DEPTH min-hashes per tree. A pair's matched prefix
-   starts at the full depth and is shortened, adaptively, to the longest length with which
-   the trees together still reach the target recall at the threshold (prefix_length). Nodes
-   with an equal prefix of that length in a tree are its subtree.
+2. TREES bands ("trees" below) hold one prefix of min-hashes each, of one fixed length: the
+   longest, DEPTH at most, with which the bands together reach the target recall at the
+   threshold (prefix_length; 3 at the defaults). This is plain banding, not a forest of sorted
+   prefix tries: no longer prefixes are kept, and a large band is split in blocks alone (step
+   4). Nodes with an equal prefix in a band are its subtree.
 3. Subtrees of one node, and those whose nodes all lie together in an earlier tree too, have
    nothing new and go. Sums for this are made before the shuffle.
 4. A subtree of more than BLOCK nodes is cut into blocks by hash, and every two blocks meet
