@@ -11,19 +11,24 @@ the character counts, runs about the middle of the alphabet, and lag-one serial
 of the ranks. Fisher's method combines their p-values to a score between 0 and 1, which is
 uniform for random strings and near 0 for written ones.
 
-False discoveries: written text gives the null distribution, in classes of length. Every
-document with enough ASCII letters adds, for each class, one run of its letters (spaces and
-signs left out) of the class's least length, from a place that its size fixes. A
-candidate's p-value is the share of these with a score as high, and Benjamini-Hochberg
-within each class of length finds the lowest score that keeps the expected share of text
-among the reported runs at `fdr`.
+False discoveries: written text gives the null distribution, in classes of length. The
+ASCII letters and digits of every text are cut into consecutive runs, turn by turn of the
+lengths of TAPE, from end to end; what stands between words becomes one `_`, `-` or `/` in
+the runs that stand for paths and names, and goes in those that stand for joined words; the
+last two characters become digits, as candidates have some. A candidate's p-value is the
+share of these runs with a score as high, and Benjamini-Hochberg within each class of length
+finds the lowest score that keeps the expected share of text among the reported runs at
+`fdr`. A class with fewer than 1 / fdr - 1 such runs (19 by default; so short tables, and
+texts in other scripts) has no proof of randomness and reports none; fixed kinds are found
+all the same.
 
 The first pass counts scores (histograms of fixed size are all that leaves it), the second
 scans with the thresholds found. Nothing is shuffled but the counts.
 
 Edge cases: null text counts as empty; a text without spans has the empty string; a
 candidate that overlaps a fixed span is left to that span; repeated rows give repeated
-results; an empty table gives an empty result; other columns stay, whatever their names.
+results; an empty table gives an empty result; other columns stay, whatever their names. A
+very long text is read whole, in one piece of its own.
 """
 
 from __future__ import annotations
@@ -49,6 +54,9 @@ SHORTEST = {"assign": 12, "access": 18, "hex": 16, "random": 20}
 CLASSES = (20, 24, 28, 32, 40, 64)
 BINS = 400
 FDR = 0.05
+#: Lengths that written text is cut to in turn; every second one loses what stands between words.
+TAPE = (20, 25, 24, 30, 28, 35, 32, 40, 40, 50, 64, 80)
+_EDGES = np.concatenate(([0], np.cumsum(TAPE)))
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
@@ -82,6 +90,7 @@ _RANK = np.full((len(ALPHABETS), 256), -1, np.int64)
 for _i, _a in enumerate(ALPHABETS):
     _RANK[_i, list(_a.encode())] = np.arange(len(_a))
 _SIZE = np.array([len(a) for a in ALPHABETS])
+_WIDEST = int(_SIZE.max())
 
 
 def _normal_tail(z: np.ndarray) -> np.ndarray:
@@ -107,8 +116,8 @@ def randomness(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         open_ &= ~fits
     m = _SIZE[encoding].astype(float)
     rank = _RANK[encoding[owner], chars]
-    cells = np.bincount(owner * 256 + rank, minlength=k * 256).reshape(k, 256).astype(float)
-    chi = (cells**2).sum(1) * m / n - n
+    cells = np.bincount(owner * _WIDEST + rank, minlength=k * _WIDEST).reshape(k, _WIDEST)
+    chi = np.einsum("ij,ij->i", cells, cells) * m / n - n
     p_chi = _normal_tail((chi - (m - 1)) / np.sqrt(2 * (m - 1) * np.maximum(n - 1, 1) / n))
     upper = rank * 2 >= m[owner]
     mate = owner[:-1] == owner[1:]
@@ -143,16 +152,36 @@ def _bins(scores: np.ndarray) -> np.ndarray:
     return np.minimum((scores * BINS).astype(np.int64), BINS - 1)
 
 
-def _written(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, bins) of the runs of letters that stand for written text."""
-    inside = _LETTER[data]
-    before = np.concatenate(([0], np.cumsum(inside)))[offsets]
-    letters, have = data[inside], np.diff(before)
-    for c, n in enumerate(CLASSES):
-        docs = np.flatnonzero(have >= n)
-        shift = tn.mix(have[docs].astype(np.uint64) + np.uint64(c)) % (have[docs] - n + 1).astype(np.uint64)
-        starts = before[docs] + shift.astype(np.int64)
-        yield c, _bins(randomness(letters, starts, starts + n))
+def _written(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and bins of the runs that stand for written text; each text is cut from end to end."""
+    inside = _LETTER[data] | ((data >= 48) & (data < 58))
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]  # the first of what stands between two words
+    before = np.concatenate(([0], np.cumsum(kept)))[offsets]
+    chars, gap, n = data[kept], ~inside[kept], np.diff(before)
+    # a text lies on the endless tape from a place that its size fixes, so that short texts meet all lengths
+    turn, span = len(TAPE), int(_EDGES[-1])
+    at = (tn.mix(n.astype(np.uint64)) % np.uint64(span)).astype(np.int64)
+    first = np.searchsorted(_EDGES, at)
+    rounds, rest = np.divmod(at + n, span)
+    count = np.maximum(rounds * turn + np.searchsorted(_EDGES, rest, "right") - 1 - first, 0)
+    doc = np.repeat(np.arange(len(n)), count)
+    k = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    starts = before[doc] + k // turn * span + _EDGES[k % turn] - at[doc]
+    size = np.array(TAPE)[k % turn]
+    owner = np.repeat(np.arange(len(k)), size)
+    place = np.arange(len(owner)) + np.repeat(starts - np.cumsum(size) + size, size)
+    joined = k % 2 == 1
+    stay = ~(gap[place] & joined[owner])
+    owner, place = owner[stay], place[stay]
+    made = np.where(gap[place], np.frombuffer(b"_-/", np.uint8)[owner % 3], chars[place])
+    size = np.bincount(owner, minlength=len(k))
+    ends = np.cumsum(size)
+    live = size >= SHORTEST["random"]
+    last = ends[live]
+    number = tn.mix(starts[live].astype(np.uint64))
+    made[last - 1], made[last - 2] = number % np.uint64(10) + np.uint64(48), number // np.uint64(10) % np.uint64(10) + np.uint64(48)
+    return np.searchsorted(CLASSES, size[live], "right") - 1, _bins(randomness(made, last - size[live], last))
 
 
 def thresholds(docs: DataFrame, fdr: float = FDR) -> list[int]:
@@ -160,11 +189,12 @@ def thresholds(docs: DataFrame, fdr: float = FDR) -> list[int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(CLASSES) * BINS
-        total = np.zeros((2, size), np.int64)
+        total = np.zeros((2, size), np.int64)  # candidates, written runs
         for batch in batches:
-            for *_, word, cls, bins in _runs(batch.column(0)):
-                for k in (0, 1):
-                    total[k] += np.bincount((cls * BINS + bins)[word == bool(k)], minlength=size)
+            for _, _, data, offsets, _, _, _, cls, bins in _runs(batch.column(0)):
+                total[0] += np.bincount(cls * BINS + bins, minlength=size)
+                cls, bins = _written(data, offsets)
+                total[1] += np.bincount(cls * BINS + bins, minlength=size)
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
 
