@@ -76,13 +76,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_blocks(spark: SparkSession, glob: str) -> DataFrame:
-    """Block files named <filing>_blocks.jsonl, with the filing from the name; raises if there is none."""
-    rows = spark.read.schema(BLOCK).json(glob)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_blocks\.jsonl", 1)
-    out = rows.withColumn("filing", name)
-    if out.isEmpty():
+    """Block files named <filing>_blocks.jsonl, with the filing from the name; raises if no file is there. Files without rows are no error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where):
         raise FileNotFoundError(f"no blocks at {glob}")
-    return out
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_blocks\.jsonl", 1)
+    return spark.read.schema(BLOCK).json(glob).withColumn("filing", name)
 
 
 def _decoded(raw: bytes) -> str:

@@ -61,7 +61,7 @@ def test_questions(spark, tmp_path):
 
 def test_blocks_traces_and_csv(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, "é")], "doc_id long, block_seq int, text string")
-    files.write_jsonl(rows, str(tmp_path / "out"))
+    files.write_jsonl(rows.coalesce(1), str(tmp_path / "out"))
     part = next((tmp_path / "out").glob("part*.json"))
     (tmp_path / "blocks").mkdir()
     (tmp_path / "blocks" / "sea-2025_blocks.jsonl").write_bytes(part.read_bytes())
