@@ -3,16 +3,19 @@
 Statistics of whole texts are array and string expressions of one row. Learning takes a
 bounded sample of labelled rows, cuts each statistic at quantiles, and counts the rows in
 every cell of cuts; only these counts, no more than the bound, reach the driver. There rules
-are found one after another: a rule grows by the condition `statistic <= cut` or
-`statistic > cut` with the best information gain on two thirds of the sample, is pruned
-from its end on the other third, and joins the list if it is precise enough there; rows it
-covers are taken out, and the next rule is sought among the rest. The list becomes one
-ordered CASE expression: a text that a rule covers is rejected, others are kept.
-
-Edge cases: a null or empty text has no words and fails the base rule; a row without label
-is not learned from; without labelled rows of both kinds the list is empty and keeps what
-the base rule keeps; repeated rows get equal verdicts; columns of the input that have a
-statistic's name are not read.
+are found one after another, for either label: a rule grows by the condition
+`statistic <= cut` or `statistic > cut` with the best information gain on two thirds of the
+sample, and is pruned from its end on the other third. Of the best rule to reject and the
+best rule to keep the one that tells more there joins the list, if it is precise and wide
+enough; rows it covers are taken out, and the next rule is sought among the rest. The list
+becomes one ordered CASE expression: the first rule that covers a text gives its verdict. Texts
+that none covers are kept, unless the sample's are bad as precisely as a rule must be.
+
+Edge cases: a null or empty text has no words and fails the base rule; a very long text is
+measured whole, in its own row; a row without label is not learned from; without labelled
+rows of both kinds, or with fewer than some dozen, the list is empty and keeps what the base
+rule keeps; repeated rows get equal verdicts; an empty table gives an empty result; columns of
+the input that have a statistic's name are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +53,18 @@ class Params:
     cuts: int = 31  # of each statistic
     rules: int = 16
     conditions: int = 4
-    precision: float = 0.9  # on the rows that prune
-    support: int = 5
+    precision: float = 0.9  # part of the other label's share that a rule must leave out, on the rows that prune
+    support: float = 0.002  # part of the rows that a rule must rightly cover, both to grow and to stay
+    fewest: int = 3  # and the least number of them
+
+
+@dataclass(frozen=True)
+class Rule:
+    conditions: tuple[Condition, ...]
+    keep: bool
+
+    def __str__(self) -> str:
+        return f"{'keep' if self.keep else 'reject'} if {' and '.join(map(str, self.conditions)) or 'any'}"
 
 
 def repeated_words(words: Column) -> Column:
@@ -114,11 +128,8 @@ class Condition:
         return f"{self.feature} {'>' if self.above else '<='} {self.cut:g}"
 
 
-Rule = tuple[Condition, ...]
-
-
 def learn(stats: DataFrame, p: Params = Params()) -> list[Rule]:
-    """Rules for label 0 from a written table of statistics with `label`, of at most p.bound rows."""
+    """Rules from a written table of statistics with `label`, of at most p.bound rows."""
     levels = [k / (p.cuts + 1) for k in range(1, p.cuts + 1)]
     row = stats.select(*[F.percentile_approx(feature(n), levels, 10_000).alias(n) for n in FEATURES]).first()
     cuts = {n: sorted(set(row[n] or [])) for n in FEATURES}
@@ -128,7 +139,8 @@ def learn(stats: DataFrame, p: Params = Params()) -> list[Rule]:
     grow, prune = [], []
     for r in cells.collect():  # no more cells than sampled rows
         (prune if r["prunes"] else grow).append((tuple(r[n] for n in names), r["label"] == 0, r["count"]))
-    return [tuple(Condition(FEATURES[f], above, cuts[FEATURES[f]][k]) for f, above, k in rule) for rule in cover(grow, prune, [len(cuts[n]) for n in FEATURES], p)]
+    found = cover(grow, prune, [len(cuts[n]) for n in FEATURES], p)
+    return [Rule(tuple(Condition(FEATURES[f], above, cuts[FEATURES[f]][k]) for f, above, k in tests), keep) for tests, keep in found]
 
 
 def _bin(x: Column, cuts: list[float]) -> Column:
@@ -144,73 +156,82 @@ def _holds(cell: Cell, tests: list[Test] | tuple[Test, ...]) -> bool:
     return all((cell[0][f] > k) == above for f, above, k in tests)
 
 
-def _weigh(cells: list[Cell]) -> tuple[int, int]:
-    hit = sum(n for _, bad, n in cells if bad)
+def _weigh(cells: list[Cell], bad: bool) -> tuple[int, int]:
+    """Rows with that label, and the others."""
+    hit = sum(n for _, b, n in cells if b == bad)
     return hit, sum(n for _, _, n in cells) - hit
 
 
-def cover(grow: list[Cell], prune: list[Cell], sizes: list[int], p: Params) -> list[tuple[Test, ...]]:
-    """Sequential covering of the bad cells; rules as tests (feature, above, number of the cut)."""
-    rules: list[tuple[Test, ...]] = []
+def cover(grow: list[Cell], prune: list[Cell], sizes: list[int], p: Params) -> list[tuple[tuple[Test, ...], bool]]:
+    """Sequential covering: rules as tests (feature, above, number of the cut), and whether they keep, in order."""
+    rules: list[tuple[tuple[Test, ...], bool]] = []
+    least = [max(p.fewest, math.ceil(p.support * sum(n for _, _, n in cells))) for cells in (grow, prune)]
     while len(rules) < p.rules:
-        tests, inside = [], grow
-        while len(tests) < p.conditions:
-            best = _best_test(inside, sizes, p)
-            if best is None:
-                break
-            tests.append(best)
-            inside = [c for c in inside if _holds(c, [best])]
-            if not _weigh(inside)[1]:
-                break
-        while tests:
-            scores = []
-            for n in range(1, len(tests) + 1):
-                good, wrong = _weigh([c for c in prune if _holds(c, tests[:n])])
-                scores.append(((good - wrong) / (good + wrong) if good + wrong else -1.0, -n))
-            n = -max(scores)[1]
-            tests = tests[:n]
+        best = [(*_prune(prune, _grow(grow, sizes, not keep, least[0], p), not keep, least[1], p), keep) for keep in (False, True)]
+        gain, tests, keep = max(best)
+        if not gain > 0:
             break
-        good, wrong = _weigh([c for c in prune if _holds(c, tests)]) if tests else (0, 0)
-        if not tests or good < p.support or good < p.precision * (good + wrong):
-            return rules
-        rules.append(tuple(tests))
+        rules.append((tests, keep))
         grow, prune = [c for c in grow if not _holds(c, tests)], [c for c in prune if not _holds(c, tests)]
+    rest = [_weigh(cells, True) for cells in (grow, prune)]
+    if rules and all(bad >= n and bad >= p.precision * (bad + good) for (bad, good), n in zip(rest, least, strict=True)):
+        return [*rules, ((), False)]  # what no rule covers is bad as well
+    while rules and rules[-1][1]:
+        rules.pop()  # the rest is kept anyway
     return rules
 
 
-def _best_test(cells: list[Cell], sizes: list[int], p: Params) -> Test | None:
+def _grow(cells: list[Cell], sizes: list[int], bad: bool, least: int, p: Params) -> tuple[Test, ...]:
+    tests: list[Test] = []
+    while len(tests) < p.conditions and (best := _best_test(cells, sizes, bad, least)):
+        tests.append(best)
+        cells = [c for c in cells if _holds(c, [best])]
+    return tuple(tests)
+
+
+def _prune(cells: list[Cell], tests: tuple[Test, ...], bad: bool, least: int, p: Params) -> tuple[float, tuple[Test, ...]]:
+    """The beginning of the tests that tells most about the rows, and how many bits; 0 bits if none is precise and wide enough."""
+    right, wrong = _weigh(cells, bad)
+    best: tuple[float, tuple[Test, ...]] = (0.0, ())
+    for n in range(1, len(tests) + 1):
+        hit, miss = _weigh([c for c in cells if _holds(c, tests[:n])], bad)
+        if hit >= least and wrong and miss / (hit + miss) <= (1 - p.precision) * wrong / (right + wrong):
+            gain = hit * (math.log2((hit + 1) / (hit + miss + 2)) - math.log2((right + 1) / (right + wrong + 2)))
+            best = max(best, (gain, tests[:n]), key=lambda x: x[0])
+    return best
+
+
+def _best_test(cells: list[Cell], sizes: list[int], bad: bool, least: int) -> Test | None:
     """The test with the largest information gain over the cells, or none that gains."""
-    good, wrong = _weigh(cells)
-    if not good or not wrong:
+    right, wrong = _weigh(cells, bad)
+    if not right or not wrong:
         return None
-    base, best, found = math.log2(good / (good + wrong)), 0.0, None
+    base, best, found = math.log2(right / (right + wrong)), 0.0, None
     for f, size in enumerate(sizes):
         sums: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-        for at, bad, n in cells:
-            sums[at[f]][not bad] += n
+        for at, b, n in cells:
+            sums[at[f]][b != bad] += n
         g = w = 0
         for k in range(size):
             g, w = g + sums[k][0], w + sums[k][1]
-            for above, (a, b) in ((False, (g, w)), (True, (good - g, wrong - w))):
-                if a >= p.support and (gain := a * (math.log2(a / (a + b)) - base)) > best + 1e-9:
+            for above, (x, y) in ((False, (g, w)), (True, (right - g, wrong - w))):
+                if x >= least and (gain := x * (math.log2(x / (x + y)) - base)) > best + 1e-9:
                     best, found = gain, (f, above, k)
     return found
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """False where a rule covers the row, by the first that does; true elsewhere.
+    """What the first rule that covers the row says; true where none does.
 
     The ordered CASE reads a struct of the features it needs, made once for each row.
     """
-    names = sorted({c.feature for rule in rules for c in rule})
+    names = sorted({c.feature for rule in rules for c in rule.conditions})
 
     def decide(features: Column) -> Column:
         out = F
         for rule in rules:
-            held = rule[0].column(features)
-            for c in rule[1:]:
-                held = held & c.column(features)
-            out = out.when(held, F.lit(False))
+            held = reduce(Column.__and__, [c.column(features) for c in rule.conditions], F.lit(True))
+            out = out.when(held, F.lit(rule.keep))
         return out.otherwise(F.lit(True))
 
     return let(F.struct(*[feature(n).alias(n) for n in names]), decide) if rules else F.lit(True)

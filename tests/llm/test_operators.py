@@ -240,9 +240,17 @@ def test_covering_finds_planted_rules():
     rng = random.Random(8)
     cells = [((a := rng.randint(0, 9), b := rng.randint(0, 9), rng.randint(0, 9)), (a > 6 and b <= 4) or a == 0, 1) for _ in range(3000)]
     rules = quality_rules.cover(cells[:2000], cells[2000:], [9, 9, 9], quality_rules.Params())
-    wrong = sum(any(quality_rules._holds(c, r) for r in rules) != c[1] for c in cells)
-    assert rules and wrong <= 0.02 * len(cells)
+    keeps = [next((keep for tests, keep in rules if quality_rules._holds(c, tests)), True) for c in cells]
+    assert {keep for _, keep in rules} == {True, False} and rules[-1][1] is False and sum(k == c[1] for k, c in zip(keeps, cells, strict=True)) <= 0.02 * len(cells)
     assert quality_rules.cover([], [], [9], quality_rules.Params()) == []
+    assert quality_rules.cover([((1,), True, 50)], [((1,), True, 50)], [9], quality_rules.Params()) == []
+
+
+def test_the_first_rule_that_covers_a_text_gives_its_verdict(spark):
+    at = lambda above, cut: (quality_rules.Condition("n_words", above, cut),)
+    rules = [quality_rules.Rule(at(True, 100.0), True), quality_rules.Rule(at(True, 50.0), False), quality_rules.Rule(at(True, 20.0) + at(False, 30.0), False)]
+    rows = spark.createDataFrame([(n,) for n in (10, 25, 40, 60, 200)], "n_words long")
+    assert [r[0] for r in rows.select(quality_rules.verdict(rules)).collect()] == [True, False, True, False, True]
 
 
 def test_trees_learn_and_flatten():
@@ -278,13 +286,46 @@ def test_regression_is_sparse_and_finds_the_words():
     made = [(" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(30)), 0) for _ in range(300)]
     made = [(t + " awful", 1) if rng.random() < 0.3 else (t, y) for t, y in made]
     p = toxicity.Params(bits=16)
-    at, w, bias = toxicity.train(pa.array([t for t, _ in made]), np.array([y for _, y in made]), p)
+    at, w, bias = toxicity.train(toxicity.examples(pa.array([t for t, _ in made]), p.bits), np.array([y for _, y in made]), p)
     dense = np.zeros(1 << 16)
     dense[at] = w
     got = toxicity.score_texts(pa.array(["a b Awful", "a b", "", None]), dense, bias, 16)
     assert got[0] > 0.5 > got[1] and got[2] == got[3] < 0.5 and 0 < len(at) < 500
 
 
+def test_best_cut():
+    raw, labels = np.array([3.0, 2.0, 1.0, 0.5, 0.5, -1.0]), np.array([1, 1, 1, 1, 0, 0])
+    assert toxicity.best_cut(raw, labels, 0.9) == 0.75 and toxicity.best_cut(raw, labels, 0.5) == -0.25
+    assert toxicity.best_cut(raw, 0 * labels, 0.5) == 0 and toxicity.best_cut(raw[:0], labels[:0], 0.5) == 0
+
+
+def test_scores_are_those_of_a_plain_scorer():
+    """Sum of the weights of a text's distinct words, pairs and skip-pairs, each hashed on its own."""
+    rng = random.Random(14)
+    words = ["ab", "cd", "Ef", "gh1", "é", "ij"]
+    made = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    p = toxicity.Params(bits=12, l1=0.5)
+    at, w, bias = toxicity.train(toxicity.examples(pa.array(made), p.bits), np.array([int("ab cd" in t) for t in made]), p)
+    dense = np.zeros(1 << p.bits)
+    dense[at] = w
+    weight = dict(zip(at.tolist(), w.tolist(), strict=True))
+    one = {x: int(tn.word_hashes(np.frombuffer(x.lower().encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0]) for x in words}
+    mixed = lambda x: int(tn.mix(np.array([x % (1 << 64)], np.uint64))[0])
+    for t in made[:50]:
+        h = [one[x] for x in t.split()]
+        found = {x % (1 << p.bits) for x in h} | {mixed(a * (3 + 2 * g) + b) % (1 << p.bits) for g in (1, 2) for a, b in zip(h, h[g:])}
+        want = 1 / (1 + np.exp(-bias - sum(weight.get(x, 0.0) for x in found)))
+        assert toxicity.score_texts(pa.array([t]), dense, bias, p.bits)[0] == pytest.approx(want)
+    assert len(at) > 20
+
+
+def test_learning_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 20) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, toxicity.Params(volume=10))[2] == toxicity.PRIOR
+    assert len(toxicity.fit(docs, labels, toxicity.Params(l1=0.1))[0]) > 0
+
+
 def test_without_labels(spark, write):
     d = write([(1, "some text", "en", "s", 9)])
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
