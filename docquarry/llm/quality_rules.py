@@ -190,15 +190,15 @@ def _grow(cells: list[Cell], sizes: list[int], bad: bool, least: int, p: Params)
 
 
 def _prune(cells: list[Cell], tests: tuple[Test, ...], bad: bool, least: int, p: Params) -> tuple[float, tuple[Test, ...]]:
-    """The beginning of the tests that tells most about the rows, and how many bits; 0 bits if none is precise and wide enough."""
+    """The most precise beginning of the tests, and how many bits it tells about the rows; 0 bits if none is precise and wide enough."""
     right, wrong = _weigh(cells, bad)
-    best: tuple[float, tuple[Test, ...]] = (0.0, ())
+    best: tuple[float, float, tuple[Test, ...]] = (0.0, 0.0, ())
     for n in range(1, len(tests) + 1):
         hit, miss = _weigh([c for c in cells if _holds(c, tests[:n])], bad)
         if hit >= least and wrong and miss / (hit + miss) <= (1 - p.precision) * wrong / (right + wrong):
             gain = hit * (math.log2((hit + 1) / (hit + miss + 2)) - math.log2((right + 1) / (right + wrong + 2)))
-            best = max(best, (gain, tests[:n]), key=lambda x: x[0])
-    return best
+            best = max(best, (hit / (hit + miss), gain, tests[:n]), key=lambda x: x[:2])
+    return best[1:]
 
 
 def _best_test(cells: list[Cell], sizes: list[int], bad: bool, least: int) -> Test | None:
