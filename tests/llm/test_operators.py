@@ -65,19 +65,86 @@ def test_shared_spans():
     assert (s, e, s2, e2) == (0, 80, 0, 80) and likeness == 79 / 81
 
 
-def test_prefix_length():
-    assert near_join.prefix_length() == 3 and near_join.prefix_length(0.99, 10, 6) == 6 and near_join.prefix_length(0.1, 2) == 1
+def test_shortest_prefix():
+    assert near_join.shortest_prefix() == 3 and near_join.shortest_prefix(0.99, 10, 6) == 6 and near_join.shortest_prefix(0.1, 2) == 1
 
 
-def test_linked_pairs():
+def test_shortening_ends_when_the_recall_is_reached():
+    near, copies = np.full(50, 0.8), np.full(400, 0.97)
+    assert near_join.enough(copies, 6) and not near_join.enough(copies[:20], 6)
+    assert not near_join.enough(np.concatenate((near, copies)), 6) and not near_join.enough(np.zeros(0), 3)
+    missed = [(1 - near_join.matched(0.8, n)) * 1e6 for n in (6, 5, 4, 3)]
+    assert missed == sorted(missed, reverse=True) and near_join.enough(np.full(10**6, 0.8), 3) and not near_join.enough(np.full(10**6, 0.8), 4)
+
+
+def test_a_crowd_of_near_copies_is_done_after_long_prefixes():
+    """Every link of a branch is found, each once over all trees, and before prefixes are shortened to the end."""
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(120):
+        w = base.copy()
+        w[rng.randrange(300)] = f"x{rng.random()}"
+        texts.append(" ".join(w))
+    keys, _ = near_join.paths(pa.array(texts), 10, 6, 3)
+    (_, _, s, rows), = near_join.shingle_sets(pa.array(texts))
+    sets = [np.unique(s[rows == i]) for i in range(120)]
+    seen, ended = Counter(), []
+    for t in range(10):
+        for root in np.unique(keys[:, t, 0]):
+            a = np.flatnonzero(keys[:, t, 0] == root)
+            i, j, length = near_join.branch_links(sets, keys, t, a, a, 3)
+            seen.update(zip(i.tolist(), j.tolist(), strict=True))
+            ended += [length] * (len(a) > 60)
+    assert max(ended) == 6 and max(seen.values()) == 1 and len(seen) >= 0.999 * 120 * 119 / 2
+
+
+def test_recall_of_the_forest_against_all_pairs(spark):
+    """Pairs a little over the threshold, among them a crowd that shares a long beginning."""
+    rng = random.Random(16)
+    word = lambda: f"w{rng.randint(0, 10**7)}"
+    crowd = [word() for _ in range(90)]
+    rows = []
+    for i in range(400):
+        base = [*(crowd if i % 4 == 0 else [word() for _ in range(90)]), *(word() for _ in range(110))]
+        other = list(base)
+        for k in rng.sample(range(200), rng.randint(3, 4)):
+            other[k] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = [2 * i for i in range(400) if like(2 * i, 2 * i + 1) >= 0.8]
+    assert len(want) > 350 and not any(like(a, b) >= 0.8 for a in range(0, 800, 8) for b in range(0, 800, 8) if a < b)
+    got = {r["doc_id"]: r["class_id"] for r in near_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i + 1] == i for i in want) >= 0.995 * len(want)
+    assert all(got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(400))
+
+
+def test_linker():
     rng = random.Random(4)
     sets = [np.array(sorted(rng.sample(range(40), rng.randint(0, 30))), np.uint64) for _ in range(60)]
     like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / max(1, len(np.union1d(sets[i], sets[j])))
-    left, right = np.arange(0, 30), np.arange(30, 60)
-    for a, b in ((left, right), (left, left)):
-        i, j = near_join.linked_pairs(sets, a, b, 0.5)
-        want = {(x, y) for x in a for y in b if (a is not b or x < y) and like(x, y) >= 0.5}
-        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
+    right = np.arange(30, 60)
+    linker = near_join.Linker(sets, right, 0.5)
+    for i in range(30):
+        may = np.array([rng.random() < 0.7 for _ in right])
+        j, found = linker.linked(i, may)
+        assert right[j].tolist() == [y for y, m in zip(right, may, strict=True) if m and like(i, y) >= 0.5]
+        assert found.tolist() == [like(i, y) for y in right[j]]
+
+
+def test_first_matches():
+    """A pair belongs to the tree where it matches longest, the first of several, at that length."""
+    rng = np.random.default_rng(18)
+    symbols = rng.integers(0, 2, (20, 4, 3))
+    keys = np.stack([(symbols[:, :, : k + 1] * 2 ** np.arange(k + 1)).sum(2) for k in range(3)], 2)
+    a = np.arange(20)
+    levels = [near_join.first_matches(keys, a, a, t) for t in range(4)]
+    for i in range(20):
+        for j in range(20):
+            length = [next((n for n in (3, 2, 1) if (symbols[i, t, :n] == symbols[j, t, :n]).all()), 0) for t in range(4)]
+            want = length.index(max(length))
+            assert [x[i, j] for x in levels] == [max(length) - 1 if t == want else -1 for t in range(4)]
 
 
 def test_blocks_of_a_large_group_lose_no_link(spark):
@@ -90,7 +157,7 @@ def test_blocks_of_a_large_group_lose_no_link(spark):
             w[k] = f"x{rng.randint(0, 999)}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    _, found = near_join.links(docs, block=8)
+    *_, found = near_join.links(docs, block=8)
     got = Counter()
     for r in found.collect():
         got[r["node"]] += r["n"]
