@@ -1,9 +1,10 @@
 """Packing: minimum bin slack over a histogram of lengths.
 
-Every document becomes its token ids and an end id. Pieces of a full window stand alone;
-what is left of a document is shorter than a window. The multiset of these lengths is a
-histogram with fewer entries than a window has tokens, however many documents there are,
-and only the histogram is planned on the driver:
+Every document becomes its token ids and an end id, cut into pieces of at most a window. A
+task takes pieces until it holds BUFFER tokens, packs them into full windows and goes on with
+what is left, less than a window, and new pieces; at its end the rest is packed too. So each
+task packs its own rows in one pass, in bounded memory, and a lost task is simply run again.
+Only the histogram of the held lengths is planned:
 
 1. A bitset dynamic programme over the remaining multiset (counts split into powers of two)
    finds the subset sum closest to the window, and backtracking gives how many pieces of each
@@ -12,37 +13,40 @@ and only the histogram is planned on the driver:
    length and the steps are few.
 3. If it leaves slack, one more piece is cut so that its first part fills the window exactly;
    its second part goes back to the multiset.
-4. When less than a window is left, the window becomes the largest power of two that is not
-   above it. So no sequence needs padding.
+4. At the task's end, when less than a window is left, the window becomes the largest power of
+   two that is not above it. So no sequence needs padding, and a task ends in 12 short
+   sequences at the most.
 
-Pieces find their places by number: the k-th piece of a length goes where the plan puts the
-k-th of that length. Numbers come from counts of (part of the token table, length) and the
-position within the part, without ordering a length's pieces, so a length that a third of
-all documents share is spread like any other.
+Sequences are numbered by task (its partition's number, times 2**32) and in order, so a rerun
+over equally partitioned input gives the same ones.
 
-Edge cases: a null or empty text is the end id alone; a null doc_id packs like others;
-repeated rows are packed once each; an empty table gives an empty result.
+Edge cases: a null or empty text is the end id alone; a very long text is tokenized whole and
+cut into windows; a null doc_id packs like others; repeated rows are packed once each; only
+doc_id and text are read, so other columns, whatever their names, do no harm; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import textnum as tn
-from docquarry.llm.common import materialize, table
+from docquarry.llm.common import table
 
 WINDOW = 4096
 END = 2
 #: Words whose ids a worker keeps, and bytes of text it looks up at a time.
 CACHE, PIECE = 1_500_000, 3 << 19
+#: Tokens that a task holds before it packs them.
+BUFFER = 1 << 22
 
 # ---------------------------------------------------------------- planning
 
@@ -59,11 +63,15 @@ class Share:
 
 @dataclass
 class Plan:
-    """Rows (origin, first, count, start, length, sequence, skip, per, offset): see place()."""
+    """Rows (origin, first, count, start, keep, sequence, skip, per, offset), and the shares that are left.
+
+    Pieces number first + k of length origin give `keep` tokens from `start` on; sequence +
+    (skip + k) // per gets them, at offset + (skip + k) % per * keep.
+    """
 
     rows: list[tuple[int, ...]] = field(default_factory=list)
+    rest: list[Share] = field(default_factory=list)
     sequences: int = 0
-    padding: int = 0
 
 
 def best_filling(counts: dict[int, int], window: int) -> dict[int, int]:
@@ -92,7 +100,8 @@ def best_filling(counts: dict[int, int], window: int) -> dict[int, int]:
     return dict(filling)
 
 
-def plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
+def plan(histogram: dict[int, int], window: int = WINDOW, last: bool = True) -> Plan:
+    """Fill windows from the multiset of lengths; what is less than a window stays, unless this is the last plan."""
     out = Plan()
     pools: dict[int, list[Share]] = {n: [Share(n, 0, c, 0)] for n, c in histogram.items() if c > 0}
     counts = {n: c for n, c in histogram.items() if c > 0}
@@ -116,7 +125,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
             if not share.count:
                 pool.pop()
 
-    while total:
+    while total >= (1 if last else window):
         size = window if total >= window else 1 << (total.bit_length() - 1)
         filling = best_filling(counts, size)
         slack = size - sum(n * k for n, k in filling.items())
@@ -135,6 +144,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
             use(cut, 1, repeats, offset, slack)
         out.sequences += repeats
         total -= size * repeats
+    out.rest = [share for pool in pools.values() for share in pool if share.count]
     return out
 
 
@@ -248,112 +258,64 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
                 yield flat[cut[i] : cut[i + 1]]
 
 
-def tokenize(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """A row for each piece of at most a window: doc_id, start, length, doc_tokens, ids (little-endian 32-bit), part, number in (part, length)."""
+# ---------------------------------------------------------------- packing
+
+#: doc_id, first token in the document, tokens of the document, ids.
+Piece = tuple[int | None, int, int, np.ndarray]
+
+
+def fill(held: list[Piece], last: bool, window: int = WINDOW) -> tuple[list[tuple], list[Piece], int]:
+    """Placed pieces (doc_id, start, total, ids, sequence, offset), the pieces that are left, and the number of sequences."""
+    by_length: dict[int, list[Piece]] = defaultdict(list)
+    for piece in held:
+        by_length[len(piece[3])].append(piece)
+    found = plan({n: len(x) for n, x in by_length.items()}, window, last)
+    out = []
+    for origin, first, count, start, keep, sequence, skip, per, offset in found.rows:
+        for k, (doc, at, total, ids) in enumerate(by_length[origin][first : first + count], skip):
+            out.append((doc, at + start, total, ids[start : start + keep], sequence + k // per, offset + k % per * keep))
+    rest = [(doc, at + x.start, total, ids[x.start :]) for x in found.rest for doc, at, total, ids in by_length[x.origin][x.first : x.first + x.count]]
+    return out, rest, found.sequences
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = uuid.uuid4().int >> 65, defaultdict(int)
-        names = ["doc_id", "start", "length", "doc_tokens", "ids", "part", "number"]
 
-        def table_(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, buffer: int = BUFFER) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
-        rows, held = [], 0
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 some = batch.slice(lo, 1024)
                 for doc, ids in zip(some.column(0).to_pylist(), token_ids(some.column(1), path), strict=True):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for start in range(0, len(ids), window):
-                        piece = ids[start : start + window]
-                        rows.append((doc, start, len(piece), len(ids), piece.tobytes(), part, seen[len(piece)]))
-                        seen[len(piece)] += 1
-                        held += len(piece)
-                    if held > 1 << 20:
-                        yield table_(rows)
-                        rows, held = [], 0
-        if rows:
-            yield table_(rows)
-
-    schema = "doc_id long, start long, length long, doc_tokens long, ids binary, part long, number long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tn.tidy(run), schema)
-
-
-# ---------------------------------------------------------------- placing
+                        yield doc, start, len(ids), ids[start : start + window]
 
-
-def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The written token table, cut and placed: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
-    per_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = materialize(per_part.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")))
-    histogram = {r["length"]: r["n"] for r in first.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `window` rows at most
-    found = plan(histogram, window)
-    # the pieces of a length lie in the plan's rows by their numbers; a piece that is cut has several rows
-    by_origin: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-    for row in found.rows:
-        by_origin[row[0]].append(row[1:])
-    arrays = {n: _layers(rows) for n, rows in by_origin.items()}
-    shared = pieces.sparkSession.sparkContext.broadcast(arrays)
+    def rows(placed: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(placed), 4096):
+            doc, start, total, ids, sequence, offset = zip(*placed[k : k + 4096], strict=True)
+            size = np.array([len(x) for x in ids])
+            cut = pa.py_buffer(np.concatenate(([0], np.cumsum(size * 4))).astype(np.int32))
+            flat = pa.Array.from_buffers(pa.binary(), len(ids), [None, cut, pa.py_buffer(np.concatenate(ids))])
+            longs = [pa.array(x, pa.int64()) for x in (doc, start, size, total, np.array(sequence) + number, offset)]
+            yield pa.RecordBatch.from_arrays([*longs[:3], flat, *longs[3:]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, start, length, total, ids, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for layer in shared.value[length]:
-                    at = int(np.searchsorted(layer[0], number, "right")) - 1
-                    if at < 0 or number >= layer[0][at] + layer[1][at]:
-                        break
-                    head, _, skip, keep, sequence, gone, per, offset = (int(x[at]) for x in layer)
-                    place_, slot = divmod(number - head + gone, per)
-                    values = (doc, start + skip, keep, ids[4 * skip : 4 * (skip + keep)], total, sequence + place_, offset + slot * keep)
-                    for column, v in zip(out, values, strict=True):
-                        column.append(v)
-            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-
-    numbered = pieces.join(first.select("part", "length", "first"), ["part", "length"]).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("first") + F.col("number")).alias("number"))
-    return numbered.mapInArrow(tn.tidy(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def _layers(rows: list[tuple[int, ...]]) -> list[tuple[np.ndarray, ...]]:
-    """Rows of an origin as arrays sorted by first number; layer k has each piece's k-th part, so ranges within a layer are disjoint."""
-    layers: list[list[tuple[int, ...]]] = []
-    by_start = sorted(rows, key=lambda r: r[2])
-    taken: list[list[tuple[int, int]]] = []
-    # parts of a piece have rising starts: split ranges until each lies in one layer
-    for row in by_start:
-        todo = [row]
-        while todo:
-            first, n, *rest = todo.pop()
-            for k in range(len(layers) + 1):
-                if k == len(layers):
-                    layers.append([])
-                    taken.append([])
-                hit = next(((a, b) for a, b in taken[k] if a < first + n and first < b), None)
-                if hit is None:
-                    layers[k].append((first, n, *rest))
-                    taken[k].append((first, first + n))
-                    break
-                a, b = hit
-                if not (a <= first and first + n <= b):  # overlaps in part: split, and go on with the pieces
-                    lo, hi = max(a, first), min(b, first + n)
-                    for x, y in ((first, lo), (lo, hi), (hi, first + n)):
-                        if x < y:
-                            todo.append(_cut((first, n, *rest), x, y))
-                    break
-    return [tuple(np.array(c) for c in zip(*sorted(layer), strict=True)) for layer in layers]
-
-
-def _cut(row: tuple[int, ...], x: int, y: int) -> tuple[int, ...]:
-    first, _, start, keep, sequence, skip, per, offset = row
-    return (x, y - x, start, keep, sequence, skip + x - first, per, offset)
-
-
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    return place(materialize(tokenize(docs, path, window, end)), window)
+        number = TaskContext.get().partitionId() << 32
+        held: list[Piece] = []
+        tokens = 0
+        for piece in pieces(batches):
+            held.append(piece)
+            tokens += len(piece[3])
+            if tokens >= buffer:
+                placed, held, n = fill(held, False, window)
+                yield from rows(placed, number)
+                number, tokens = number + n, sum(len(x[3]) for x in held)
+        placed, _, _ = fill(held, True, window)
+        yield from rows(placed, number)
+
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tn.tidy(run), schema)
 
 
 def default_tokenizer() -> str:

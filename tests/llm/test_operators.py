@@ -184,30 +184,35 @@ def test_components(spark):
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_plan_fills_and_loses_nothing(histogram):
-    found = packing.plan(dict(histogram), 64)
-    layers = defaultdict(list)
-    for row in found.rows:
-        layers[row[0]].append(row[1:])
-    fill = defaultdict(list)
-    for n, count in histogram.items():
-        arrays = packing._layers(layers[n])
-        for number in range(count):
-            parts = []
-            for layer in arrays:
-                at = int(np.searchsorted(layer[0], number, "right")) - 1
-                if at < 0 or number >= layer[0][at] + layer[1][at]:
-                    break
-                first, _, skip, keep, sequence, gone, per, offset = (int(x[at]) for x in layer)
-                q, slot = divmod(number - first + gone, per)
-                parts.append((skip, keep))
-                fill[sequence + q].append((offset + slot * keep, keep))
+    for last in (True, False):
+        held = [(n, 0, n, np.arange(n)) for n, count in histogram.items() for _ in range(count)]
+        held = [(k, *p[1:]) for k, p in enumerate(held)]
+        placed, rest, sequences = packing.fill(held, last, 64)
+        pieces, fill = defaultdict(list), defaultdict(list)
+        for doc, start, total, ids, sequence, offset in placed:
+            assert ids.tolist() == list(range(start, start + len(ids))) and total == len(held[doc][3])
+            pieces[doc] += ids.tolist()
+            fill[sequence].append((offset, len(ids)))
+        for doc, _, _, ids in rest:
+            pieces[doc] += ids.tolist()
+        assert all(sorted(pieces[k]) == p[3].tolist() for k, p in enumerate(held)) and sum(len(p[3]) for p in rest) < (1 if last else 64)
+        for parts in fill.values():
             parts.sort()
-            assert parts[0][0] == 0 and sum(k for _, k in parts) == n and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:]))
-    for parts in fill.values():
-        parts.sort()
-        total = sum(k for _, k in parts)
-        assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and (total == 64 or total & (total - 1) == 0)
-    assert len(fill) == found.sequences
+            total = sum(k for _, k in parts)
+            assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and (total == 64 or last and total & (total - 1) == 0)
+        assert sorted(fill) == list(range(sequences))
+
+
+def test_packing_goes_on_with_what_is_left_and_reruns_agree(spark):
+    rng = random.Random(19)
+    docs = spark.createDataFrame([(i, "some words here " * rng.randint(0, 40)) for i in range(300)], "doc_id long, text string").repartition(3, "doc_id")
+    one, two = (sorted(tuple(r) for r in packing.pack(docs, packing.default_tokenizer(), 128, 2, 500).collect()) for _ in range(2))
+    assert one == two
+    full = Counter()
+    for r in one:
+        full[r[5]] += r[2]
+    short = [n for n in full.values() if n != 128]
+    assert len(short) <= 3 * 7 and all(n & (n - 1) == 0 for n in short)
 
 
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), max_size=6), st.integers(1, 40))
