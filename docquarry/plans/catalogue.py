@@ -15,6 +15,7 @@ from docquarry.functions import text as tx
 from docquarry.functions.calculator import calculate_column
 from docquarry.functions.citations import citation, parse_citations
 from docquarry.operators import chunks, evaluate, html, sections
+from docquarry.sources.tables import read_table
 from docquarry.operators.search import bm25, build_bm25, fuse, to_filter, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,7 @@ def _query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read_table(spark, d, name)
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
