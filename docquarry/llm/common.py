@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,14 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, removed when the driver's JVM ends.
 
-    Only where that setting is absent (local tests) is a folder of this machine taken.
+    Where that setting is absent a folder of this machine is taken, but only in local mode,
+    where no other machine has to see it; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    jvm = spark.sparkContext._jvm
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        base = _scratch.setdefault(app, tempfile.mkdtemp(prefix="docquarry-"))
+        if app not in _scratch:
+            _scratch[app] = tempfile.mkdtemp(prefix="docquarry-")
+            atexit.register(shutil.rmtree, _scratch[app], ignore_errors=True)
+        base = _scratch[app]
     path = f"{base.rstrip('/')}/docquarry-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(where)

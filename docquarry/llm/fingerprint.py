@@ -13,7 +13,10 @@ Sorting the hashes of a text puts each bin's least value first, so that no per-b
 needed; all steps are array expressions of one row, without any shuffle.
 
 Edge cases: a null text counts as empty; texts without words have one fixed shingle and so
-are equal to each other in likeness; repeated texts have equal fingerprints.
+are equal to each other in likeness; a very long text is hashed whole, in its own row;
+repeated texts have equal fingerprints; rows of equal ids follow each other in the order of
+their texts, null ids come last; the query reads doc_id and text alone, and fingerprints()
+keeps other columns but replaces one named `fingerprint`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,10 +48,11 @@ def shingle_hashes(text: Column, n: int = WORDS) -> Column:
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
     def runs(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, n)))
+        starts = F.slice(hashes, 1, F.greatest(F.size(hashes) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, n)]))
 
-    return let(F.transform(words, lambda x: F.xxhash64(x)), runs)
+    some = let(F.transform(words, lambda x: F.xxhash64(x)), runs)
+    return F.when(F.size(some) > 0, some).otherwise(F.array(F.xxhash64(F.lit(None).cast("string"))))
 
 
 def signature(text: Column) -> Column:
@@ -60,21 +64,20 @@ def signature(text: Column) -> Column:
     def least(hashes: Column) -> Column:
         return F.filter(hashes, lambda x, i: (i == 0) | (F.shiftright(x, low) != F.shiftright(F.get(hashes, i - 1), low)))
 
-    def empty(x: Column) -> Column:
-        return x.bitwiseAND(none) == none
+    def open_(bins: Column) -> Column:
+        return F.transform(bins, lambda x: F.when(x.bitwiseAND(none) != none, x))
 
-    def ask(bins: Column, i: Column) -> Column:
-        """The value of the first bin that has one among a few at random, else of all in an order of bin i's own."""
-        asked = F.transform(F.sequence(F.lit(1), F.lit(ASKED)), lambda a: F.get(bins, F.pmod(F.xxhash64(i, a), F.lit(BINS)).cast("int")))
-        first = F.get(F.filter(asked, lambda x: ~empty(x)), F.lit(0))
-        ranked = F.transform(F.filter(bins, lambda x: ~empty(x)), lambda x: F.struct(F.xxhash64(i, F.shiftright(x, low)).alias("order"), x.alias("value")))
-        return F.coalesce(first, F.array_min(ranked)["value"])
+    def value(bins: Column, x: Column, i: Column) -> Column:
+        """x, or of an empty bin i the value of the first bin that has one among a few at random, else of all in an order of bin i's own."""
+        asked = [F.get(bins, F.pmod(F.xxhash64(i, F.lit(a)), F.lit(BINS)).cast("int")) for a in range(1, ASKED + 1)]
+        ranked = F.transform(F.array_compact(bins), lambda y: F.struct(F.xxhash64(i, F.shiftright(y, low)).alias("order"), y.alias("value")))
+        return F.coalesce(x, *asked, F.array_min(ranked)["value"])
 
     def fill(bins: Column) -> Column:
-        return F.transform(bins, lambda x, i: (F.when(empty(x), ask(bins, i)).otherwise(x).bitwiseAND(F.lit((1 << BITS) - 1)) - F.lit(HALF)).cast("byte"))
+        return F.transform(bins, lambda x, i: (value(bins, x, i).bitwiseAND(F.lit((1 << BITS) - 1)) - F.lit(HALF)).cast("byte"))
 
     hashes = F.sort_array(F.concat(shingle_hashes(text), marks))
-    return let(let(hashes, least), fill)
+    return let(let(let(hashes, least), open_), fill)
 
 
 def packed(signature_: Column) -> Column:
