@@ -8,12 +8,20 @@ rows in the order of a seeded hash; the row at the end of the fraction gives onl
 that still fit, so each source meets its target to the word.
 
 The rows at the end of the fraction are found without ordering a source: sizes are summed
-over slices of the hash range (SLICES for each source, however large it is), the slice that
+over slices of the hash range (16**SLICE_DIGITS for each source, however large it is), the slice that
 holds the end is found from these sums, and only its rows are ordered.
 
+The hash is the md5 of seed and doc_id, which SQL engines share, so that the whole mix can be
+stated in SQL. Up to BROADCAST sources are planned exactly on the driver and broadcast; more
+stay a table: their weights come from ranks counted by range partitions, and the level of the
+water from repeated sums over the table.
+
 Edge cases: a null source is a source of its own, last in code-point order; a null or empty
-text has size 0 and is taken 0 words; a source of size 0 has target 0; an empty table gives
-an empty result; rows with equal ids and texts are each counted, and told apart by number.
+text has size 0 and is taken 0 words; a very long text is counted whole; a source of size 0
+has target 0; a null doc_id is hashed as the empty string; an empty table gives an empty
+result; rows with equal ids and sizes are interchangeable, and each is counted; only doc_id,
+source and text are read, and repeat() carries rows as structs, so other columns, whatever
+their names, do no harm.
 """
 
 from __future__ import annotations
@@ -26,7 +34,8 @@ from pyspark.sql import types as T
 
 from docquarry.llm.common import SEPARATORS, WORD, materialize, table
 
-SLICES = 1024
+#: Hexadecimal digits of the hash that name a slice.
+SLICE_DIGITS = 3
 EPOCHS = 2
 #: Sources up to which their table is broadcast.
 BROADCAST = 10_000
@@ -61,9 +70,12 @@ def water_fill(sizes: list[int], weights: list[int], budget: Fraction, epochs: i
 def plan(sized: DataFrame, percent: int = PERCENT, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> tuple[DataFrame, bool]:
     """A row for each source (its size, target, whole repetitions and the words of the fraction), and whether they are few enough to broadcast.
 
-    Only the sources' totals, one row each, reach the driver.
+    Only the totals of BROADCAST sources at most reach the driver.
     """
-    rows = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")).collect()
+    totals = materialize(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
+    if totals.count() > BROADCAST:
+        return plan_many(totals, percent, weights, epochs), False
+    rows = totals.collect()
     rows.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     sizes = [r["source_size"] for r in rows]
     share = [weights[i % len(weights)] for i in range(len(rows))]
@@ -73,7 +85,30 @@ def plan(sized: DataFrame, percent: int = PERCENT, weights: tuple[int, ...] = WE
         whole = int(t // r["source_size"]) if r["source_size"] else 0
         out.append((r["source"], r["source_size"], float(t), whole, int(t - whole * r["source_size"])))
     schema = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("whole", T.LongType()), ("part", T.LongType()))])
-    return sized.sparkSession.createDataFrame(out, schema), len(out) <= BROADCAST
+    return sized.sparkSession.createDataFrame(out, schema), True
+
+
+def plan_many(totals: DataFrame, percent: int = PERCENT, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """plan() without any row of a source on the driver; targets are exact to double precision."""
+    ranged = totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged.withColumn("n", F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1))
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))  # one row for each partition
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(F.broadcast(counts.select("range", before.alias("before"))), "range")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("before") + F.col("n"), F.lit(len(weights))) + 1).cast("int"))
+    table_ = materialize(placed.select("source", "source_size", weight.alias("weight"), (epochs * F.col("source_size")).alias("cap")))
+    total, all_weight = table_.agg(F.sum("source_size"), F.sum("weight")).first()
+    budget = Fraction(percent * total, 100)
+    level, state = budget / all_weight if all_weight else Fraction(0), None
+    while True:  # the level of the water rises as sources are capped
+        over = F.col("weight") * float(level) > F.col("cap")
+        capped, gone = table_.where(over).agg(F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if (capped, gone) == state or gone == all_weight:
+            break
+        state, level = (capped, gone), (budget - capped) / (all_weight - gone)
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * float(level))
+    whole = F.when(F.col("source_size") > 0, F.floor(target / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    return table_.select("source", "source_size", target.alias("target"), whole.alias("whole"), F.floor(target - whole * F.col("source_size")).cast("long").alias("part"))
 
 
 def mix(sized: DataFrame, planned: tuple[DataFrame, bool], seed: int = 0) -> DataFrame:
@@ -85,7 +120,8 @@ def mix(sized: DataFrame, planned: tuple[DataFrame, bool], seed: int = 0) -> Dat
     sources, few = planned
     hint = F.broadcast if few else lambda df: df
     sources = hint(sources)
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SLICES)).cast("int")
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    slot = F.substring(hashed, 1, SLICE_DIGITS)
     sized = sized.withColumn("slot", slot)
     sums = sized.groupBy("source", "slot").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
@@ -103,7 +139,7 @@ def mix(sized: DataFrame, planned: tuple[DataFrame, bool], seed: int = 0) -> Dat
     # without an end (the fraction is the whole source, which only a source of size 0 has) nothing is left out
     inside = joined.where(F.col("slot").eqNullSafe(F.col("end_slot")))
     outside = joined.where(~F.col("slot").eqNullSafe(F.col("end_slot")))
-    order = Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
+    order = Window.partitionBy("source").orderBy(hashed, "doc_id", "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = inside.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("end_part") - before)))
     outside = outside.withColumn("extra", F.when(F.col("slot") < F.col("end_slot"), F.col("size")).otherwise(F.lit(0)))

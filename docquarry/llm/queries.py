@@ -42,6 +42,24 @@ from (select distinct doc_id, text from documents where doc_id is not null) d
 join texts t on d.text is not distinct from t.text join class using (node) left join degree using (node)
 """
 
+#: Sources by rising ratio of cap and weight: those below the level of the water are capped. Documents fill a source's fraction in the order of their hash.
+MIXING = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size, md5('0:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+  s as (select source, cast(sum(size) as bigint) source_size, 2 * cast(sum(size) as bigint) cap, [3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] w from d group by source),
+  b as (select *, sum(source_size) over () * 3 budget2, cap / w ratio from s),
+  o as (select *, sum(w) over (order by ratio, source rows between current row and unbounded following) rest,
+          budget2 - 2 * coalesce(sum(cap) over (order by ratio, source rows between unbounded preceding and 1 preceding), 0) left2 from b),
+  c as (select *, 2 * cap * rest < left2 * w capped from o),
+  t as (select *, budget2 - 2 * coalesce(sum(cap) filter (where capped) over (), 0) open2, coalesce(sum(w) filter (where not capped) over (), 0) open_w from c),
+  f as (select source, source_size, case when capped then cap::double else (open2 * w)::double / (2 * open_w) end target,
+          case when source_size = 0 then 0 when capped then 2 else cast(open2 * w // (2 * open_w * source_size) as bigint) end whole,
+          case when capped or source_size = 0 then 0 else cast((open2 * w) // (2 * open_w) as bigint) end words from t),
+  p as (select d.*, source_size, target, whole, words - whole * source_size part,
+          coalesce(sum(size) over (partition by d.source order by h, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) before
+        from d join f on d.source is not distinct from f.source)
+select doc_id, size, source_size, target, cast(whole * size + case when whole < 2 then greatest(0, least(size, part - before)) else 0 end as bigint) as taken from p
+"""
+
 #: Digests of the turns as they are, and the length that the template gives the examples.
 CHAT = r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -59,4 +77,4 @@ from x group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_join": NEAR_JOIN, "op9_chat": CHAT}
+    return {"op3_mixing": MIXING, "op5_near_join": NEAR_JOIN, "op9_chat": CHAT}

@@ -263,6 +263,21 @@ def test_mixing_reruns_agree_and_repeats_texts(spark):
     assert dict(out) == {r[0]: r[-1] for r in one if r[-1]}
 
 
+def test_many_sources_are_planned_alike(spark):
+    rng = random.Random(23)
+    rows = [(i, None if i % 41 == 0 else f"s{i % 40}é", rng.randint(0, 30) * (i % 40 % 7)) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    few, is_few = mixing.plan(sized)
+    totals = sized.groupBy("source").sum("size").withColumnRenamed("sum(size)", "source_size")
+    many = {r["source"]: r for r in mixing.plan_many(totals).collect()}
+    assert is_few and len(many) == 41
+    for r in few.collect():
+        m = many[r["source"]]
+        assert (r["source_size"], r["whole"]) == (m["source_size"], m["whole"]) and m["target"] == pytest.approx(r["target"]) and abs(m["part"] - r["part"]) <= 1
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(sized, (mixing.plan_many(totals), False)).collect()}
+    assert all(0 <= taken[i] <= 2 * n for i, _, n in rows) and abs(sum(taken.values()) - 1.5 * sum(n for *_, n in rows)) <= 41
+
+
 @given(st.text(alphabet="\\<>/s[]INSTR OLEAYUx", max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_escapes(text):
