@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.operators.search import top
+
 CATEGORIES = ("wrong chunk", "bad table", "hallucination", "multi-hop", "over-abstention", "incomplete answer")
 KS = (3, 5, 10, 20)
 
@@ -47,13 +49,11 @@ def oracle_filters(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("qid").agg(F.array_sort(F.collect_set("company")).alias("companies"), F.array_sort(F.collect_set("year")).alias("years"))
 
 
-def oracle_hits(ranked: DataFrame, filters: DataFrame, k: int) -> DataFrame:
-    """Hits within each question's own filters, ranked anew; the filters are a product of lists, not of pairs."""
-    from pyspark.sql import Window
-
-    kept = ranked.join(filters, "qid").where(F.array_contains("companies", F.col("company")) & F.array_contains("years", F.col("year")))
-    w = Window.partitionBy("qid").orderBy("rank")
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("companies", "years")
+def oracle_hits(scored: DataFrame, filters: DataFrame, k: int, ties: list[Column]) -> DataFrame:
+    """Top k of all scored hits (qid, chunk_id, score, company, year) within each question's own filters, which come before
+    the ranks; the filters are a product of lists, not of pairs."""
+    kept = scored.join(filters, "qid").where(F.array_contains("companies", F.col("company")) & F.array_contains("years", F.col("year")))
+    return top(kept.drop("companies", "years"), k, ties)
 
 
 def citation_scores(cited: DataFrame, evidence: DataFrame, hits: DataFrame) -> DataFrame:

@@ -51,9 +51,14 @@ def build_bm25(chunks: DataFrame) -> Bm25Index:
 
 
 def bm25(queries: DataFrame, index: Bm25Index, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """Top k hits of each query. `allowed` (chunk_id, or qid and chunk_id) limits hits, never the statistics.
+    """Top k hits of each query; ties go to the higher chunk_id."""
+    return top(bm25_scores(queries, index, allowed), k, [F.col("chunk_id").desc()])
 
-    Query terms select the postings before scoring; ties go to the higher chunk_id.
+
+def bm25_scores(queries: DataFrame, index: Bm25Index, allowed: DataFrame | None = None) -> DataFrame:
+    """Scores (qid, chunk_id, score) of all chunks that share a term with the query, which selects the postings before scoring.
+
+    `allowed` (chunk_id, or qid and chunk_id) limits hits, never the statistics.
     """
     terms = queries.select("qid", F.explode(F.array_distinct(keyword_tokens(F.col("text")))).alias("term"))
     wanted = terms.join(index.terms, "term").select("qid", "term", "idf")
@@ -62,7 +67,7 @@ def bm25(queries: DataFrame, index: Bm25Index, k: int, allowed: DataFrame | None
         matched = matched.join(allowed, [c for c in ("qid", "chunk_id") if c in allowed.columns], "left_semi")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = matched.crossJoin(F.broadcast(index.totals.select("avgdl"))).groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
-    return top(scored.where("score > 0"), k, [F.col("chunk_id").desc()])
+    return scored.where("score > 0")
 
 
 def top(scored: DataFrame, k: int, ties: list[Column]) -> DataFrame:

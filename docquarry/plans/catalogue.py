@@ -16,7 +16,7 @@ from docquarry.functions.calculator import calculate_column
 from docquarry.functions.citations import citation, parse_citations
 from docquarry.operators import chunks, evaluate, html, sections
 from docquarry.sources.tables import read_table
-from docquarry.operators.search import bm25, build_bm25, fuse, to_filter, vector
+from docquarry.operators.search import bm25, bm25_scores, build_bm25, fuse, to_filter, vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -382,11 +382,13 @@ def first_hit_rank(spark: SparkSession, d: str) -> DataFrame:
 @_query(
     _HITS
     + ", fl as (select item_id, list(distinct source) cs, list(distinct lang) ys from gold group by 1),"
-    " kept as (select b.item_id, b.doc_id, row_number() over (partition by b.item_id order by b.rnk) r from bm b join documents d using (doc_id) join fl on fl.item_id = b.item_id and list_contains(cs, d.source) and list_contains(ys, d.lang) where b.rnk <= 20)"
+    " kept as (select b.item_id, b.doc_id, row_number() over (partition by b.item_id order by b.rnk) r from bm b join documents d using (doc_id) join fl on fl.item_id = b.item_id and list_contains(cs, d.source) and list_contains(ys, d.lang))"
     " select item_id, doc_id, r as rank from kept where r <= 5"
 )
 def oracle_filter_hits(spark: SparkSession, d: str) -> DataFrame:
-    out = evaluate.oracle_hits(_hits(spark, d), evaluate.oracle_filters(_evidence(spark, d)), 5)
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("company"), F.col("lang").alias("year"))
+    scored = bm25_scores(_items(spark, d), build_bm25(_chunks(spark, d))).join(docs, "chunk_id")
+    out = evaluate.oracle_hits(scored, evaluate.oracle_filters(_evidence(spark, d)), 5, [F.col("chunk_id").desc()])
     return out.select(F.col("qid").alias("item_id"), F.col("chunk_id").alias("doc_id"), *_long("rank"))
 
 

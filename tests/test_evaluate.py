@@ -31,8 +31,10 @@ def test_hit_rates_have_totals(spark):
 
 def test_oracle_filter_is_a_product(spark):
     ev = spark.createDataFrame([("q", 0, "A", 2024, ["1"]), ("q", 1, "B", 2025, ["1"])], EV)
-    hits = spark.createDataFrame([("q", 1, "C", 2024, ["1"]), ("q", 2, "A", 2025, ["1"]), ("q", 3, "B", 2025, ["1"])], HIT)
-    assert [(r["rank"], r["company"]) for r in e.oracle_hits(hits, e.oracle_filters(ev), 5).orderBy("rank").collect()] == [(1, "A"), (2, "B")]
+    rows = [("q", 1, 9.0, "C", 2024), ("q", 2, 7.0, "A", 2025), ("q", 3, 5.0, "B", 2025), ("q", 4, 7.0, "A", 2024)] + [("q", n, 8.0, "C", 2025) for n in range(10, 40)]
+    scored = spark.createDataFrame(rows, "qid string, chunk_id int, score double, company string, year int")
+    got = e.oracle_hits(scored, e.oracle_filters(ev), 2, [F.col("chunk_id").desc()])  # thirty better hits outside the filters take no rank
+    assert sorted((r["rank"], r["chunk_id"], r["company"]) for r in got.collect()) == [(1, 4, "A"), (2, 2, "A")]
 
 
 def test_citation_scores(spark):
