@@ -71,7 +71,7 @@ def test_blocks_traces_and_csv(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, trace)))
     read = {r["event"]: r for r in files.read_trace(spark, str(tmp_path / "t.jsonl")).collect()}
     assert read["step"]["calls"][0]["input"] == {"expression": "1"} and read["final"]["tool_calls_total"] == 1 and read["final"]["calls"] is None
-    files.write_csv(spark.createDataFrame([(1, True)], "a int, b boolean"), str(tmp_path / "csv"))
+    files.write_csv(spark.createDataFrame([(1, True)], "a int, b boolean").coalesce(1), str(tmp_path / "csv"))
     assert next((tmp_path / "csv").glob("*.csv")).read_text() == "a,b\n1,TRUE\n"
 
 
