@@ -10,13 +10,19 @@ its own copy of it. The steps:
 2. The others are grouped by min-hash alone, so inserted or deleted words separate nothing. A
    window's section is its shingles less than LEAST away from c. Windows with equal sections
    share a passage: each is paired with the least and the greatest document of these.
-3. Different sections of a group meet in blocks of BLOCK windows. Of SMALL windows or fewer
-   every pair with COMMON shingles in common (bitmaps tell, and lose none) is a candidate. Of
-   more, pairs are verified, those with most in common first, until every pair that may pass
-   is verified or already connected by verified pairs; the pairs that connect are candidates.
-4. Interval join: two windows aligned at c overlap from the larger l to the smaller r; the
-   overlaps of a pair of documents at one shift, over all functions, are one candidate.
-5. Both texts' stretches are fetched, and the shared passages in them are verified exactly:
+3. Different sections of a group meet. Of SMALL or fewer every pair with enough shingles in
+   common (bitmaps tell, and lose none) is a candidate. Of more, shingles that one window of
+   the group alone has are struck out, and windows with too few others have no partner; those
+   with equal others, at equal places around c, are a class, for which one is compared. Pairs
+   of classes are verified, those with most in common first, until every pair that may pass is
+   verified or already connected by verified pairs; the pairs that connect are candidates, and
+   each other window of a class with one that it shares a passage with. More than BLOCK
+   windows are struck out by parts of their shingles and compared in blocks of classes.
+4. Interval join: two windows aligned at c overlap from the larger l to the smaller r, and as
+   far beyond as insertions may shift them; the overlaps of a pair of documents at one shift,
+   over all functions, are one candidate.
+5. Both texts' stretches are fetched, and the shared passages in them are verified exactly,
+   from either side and wherever in a passage its changes lie:
    Jaccard similarity of the shingle sets of SIMILARITY or more, LEAST shingles or more.
 
 An exactly repeated passage of 50 words or more is found by every function with certainty;
@@ -37,7 +43,8 @@ do no harm; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +61,9 @@ WORDS = 5
 LEAST = 46
 SIMILARITY = 0.8
 HASHES = 3
-#: Shingles that the sections of two windows must have in common. A passage of up to 144 shingles has so many in the 46 or more around any c, since a ninth at most is not shared.
-COMMON = 30
 #: Windows of a group that meet in one task, and the most whose pairs all are candidates.
 BLOCK, SMALL = 512, 32
-_BITS = 1024
+_BITS = 2048
 
 
 def window_rows(docs: DataFrame, hashes: int = HASHES, least: int = LEAST) -> DataFrame:
@@ -86,7 +91,7 @@ def window_rows(docs: DataFrame, hashes: int = HASHES, least: int = LEAST) -> Da
     return docs.mapInArrow(tn.tidy(run), "key long, hash int, doc_id long, c int, l int, r int, section long")
 
 
-def _around(c: np.ndarray, l: np.ndarray, r: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
+def _around(c: np.ndarray, l: np.ndarray, r: np.ndarray, least: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
     """First and end position of the windows' sections: every passage of `least` shingles around c, `least` or more in all."""
     return np.maximum(l, c - least + 1), np.minimum(r, c + least - 1) + 1
 
@@ -100,8 +105,21 @@ def _section(sums: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return tn.mix(tn.mix(inside + (c - lo).astype(_U)) + (hi - lo).astype(_U))
 
 
+def _unshared(least: int, similarity: float) -> int:
+    """Shingles that two passages have beside their common ones, at the most, if they have no lesser passages at that similarity.
+
+    Of two halves of a passage one is as similar, so that these have under 2 * least shingles in the shorter text.
+    """
+    return math.floor((1 / similarity - 1) * (2 * least - 1) + 1e-9)
+
+
+def _reach(least: int, similarity: float) -> int:
+    """Shingles of the longer of two such passages, at the most."""
+    return 2 * least - 1 + _unshared(least, similarity)
+
+
 def sections(docs: DataFrame, wanted: DataFrame, least: int = LEAST) -> DataFrame:
-    """wanted (doc_id, windows: array of structs with c, l, r, section and others), a row for each window with `shingles`, 32 bits of each shingle of its section."""
+    """wanted (doc_id, windows: array of structs with c, l, r, section, reach and others), a row for each window with `shingles`, 32 bits of each of its shingles less than reach away from c, and the fewest different ones in `least` of these."""
     kind = wanted.schema["windows"].dataType.elementType
     names = kind.fieldNames()
 
@@ -118,17 +136,22 @@ def sections(docs: DataFrame, wanted: DataFrame, least: int = LEAST) -> DataFram
                     edges = np.concatenate(([0], np.cumsum(tn.counts(rows, b - a))))
                     c, l, r = (windows.column(n).to_numpy().astype(np.int64) + edges[doc] for n in ("c", "l", "r"))  # noqa: E741
                     lo, hi = _around(c, l, r, least)
-                    inside = np.flatnonzero(hi <= edges[doc + 1])
+                    inside = np.flatnonzero(r < edges[doc + 1])
                     same = _section(_sums(s), c[inside], lo[inside], hi[inside]) == windows.column("section").to_numpy().view(_U)[inside]
                     take = inside[same]  # the others are of another text of this id
+                    lo, hi = _around(c, l, r, windows.column("reach").to_numpy())
                     n = hi[take] - lo[take]
                     cut = np.concatenate(([0], np.cumsum(n)))
                     low = s[np.arange(cut[-1]) + np.repeat(lo[take] - cut[:-1], n)].astype(np.uint32)
                     binary = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(low)])
                     windows = windows.take(pa.array(take))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[take])), *windows.columns, binary], ["doc_id", *names, "shingles"])
+                    order = np.sort(np.repeat(np.arange(len(take)), n) << 32 | low)
+                    fewest = np.full(len(take), least, np.int32)
+                    for i in np.unique(order[1:][order[1:] == order[:-1]] >> 32).tolist():
+                        fewest[i] = _fewest(low[cut[i] : cut[i + 1]], least)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[take])), *windows.columns, pa.array(fewest), binary], ["doc_id", *names, "fewest", "shingles"])
 
-    schema = ", ".join(["doc_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in kind.fields), "shingles binary"])
+    schema = ", ".join(["doc_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in kind.fields), "fewest int", "shingles binary"])
     return wanted.join(docs, "doc_id").select("doc_id", "windows", "text").mapInArrow(tn.tidy(run), schema)
 
 
@@ -138,38 +161,54 @@ def _shared(least: int, similarity: float) -> int:
 
 
 def _alike(x: np.ndarray, y: np.ndarray, cx: int, cy: int, least: int, similarity: float) -> bool:
-    """Whether sections x and y, with the min-hash at cx and cy, share a passage."""
-    both = len(np.intersect1d(x, y))
-    if both < _shared(least, similarity) - (len(x) - len(np.unique(x))):
-        return False
+    """Whether x and y, with the min-hash at cx and cy, share a passage; 0 is a shingle that no other has."""
+    x, y = x.astype(_U), y.astype(_U)
+    for v, side in ((x, 1), (y, 2)):
+        lone = np.flatnonzero(v == 0)
+        v[lone] = (lone.astype(_U) << _U(34)) + (_U(side) << _U(32))
+        if len(v) < least:  # others fill it up
+            more = (np.arange(len(v), least).astype(_U) << _U(34)) + (_U(side) << _U(32))
+            x, y = (np.concatenate((x, more)), y) if side == 1 else (x, np.concatenate((y, more)))
     left, right = min(cx, cy), min(len(x) - cx, len(y) - cy)
     other = np.flatnonzero(x[cx - left : cx + right] != y[cy - left : cy + right])
     k = np.searchsorted(other, left)
     if (other[k] if k < len(other) else left + right) - (other[k - 1] + 1 if k else 0) >= least:
         return True
-    return both >= similarity * (len(np.unique(x)) + len(np.unique(y)) - both) - 1e-9 or bool(shared_spans(x, y, least, similarity) or shared_spans(y, x, least, similarity))
+    return bool(common_spans(x, y, least, similarity))
+
 
+def _fewest(x: np.ndarray, least: int) -> int:
+    """The fewest different values in `least` consecutive ones."""
+    order = np.argsort(x, kind="stable")
+    before = np.full(len(x), -1)
+    same = x[order][1:] == x[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    runs = np.lib.stride_tricks.sliding_window_view(before, least)
+    return int((runs < np.arange(len(runs))[:, None]).sum(1).min())
 
-def _bitmaps(flat: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A bitmap of each section's shingles, and how many bits two sections must share to have COMMON shingles in common: none is lost."""
+
+def _bitmaps(flat: np.ndarray, cut: np.ndarray, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each section's shingles, and how many bits two sections must share to have `common` shingles in common: none is lost."""
     n = np.diff(cut)
     bits = np.zeros((len(n), _BITS), bool)
-    bits[np.repeat(np.arange(len(n)), n), (flat * np.uint32(2654435761)) >> np.uint32(22)] = True
-    return np.packbits(bits, axis=1).view(_U), COMMON - (n - bits.sum(1))
+    bits[np.repeat(np.arange(len(n)), n), (flat * np.uint32(2654435761)) >> np.uint32(21)] = True
+    return np.packbits(bits, axis=1).view(_U), common - (n - bits.sum(1))
 
 
-def _forest(maps: np.ndarray, need: np.ndarray, doc: np.ndarray, side: np.ndarray, alike) -> list[tuple[int, int]]:
-    """Verified pairs that connect all windows which verified pairs connect, those with most in common first, and of one block before others.
+def _forest(maps: np.ndarray, half: np.ndarray, lost: np.ndarray, side: np.ndarray, alike: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Verified pairs that connect all that verified pairs connect, those with most in common first, and of one block before others.
 
-    Every pair that may pass and is not yet connected is verified, so none over the threshold is skipped.
+    Every pair that may pass and is not yet connected is verified, so none over the threshold is skipped. Passages have as
+    many shingles in common as the sum of their halves, of which a bitmap loses `lost` at the most.
     """
     n = len(maps)
     weight = np.zeros((n, n), np.int16)
     for i in range(0, n, 64):
         common = np.bitwise_count(maps[i : i + 64, None] & maps[None]).sum(2, dtype=np.int16)
-        good = (common >= np.maximum(need[i : i + 64, None], need[None])) & (doc[i : i + 64, None] != doc[None])
+        good = common + np.minimum(lost[i : i + 64, None], lost[None]) >= half[i : i + 64, None] + half[None] - 1e-9
         weight[i : i + 64] = np.where(good, np.maximum(common, 1) + 8 * (side[i : i + 64, None] == side[None]), 0)
     root, out = np.arange(n), []
+    np.fill_diagonal(weight, 0)
     while True:
         best = weight.argmax(1)
         ask = np.flatnonzero(weight[np.arange(n), best] > 0)
@@ -186,27 +225,76 @@ def _forest(maps: np.ndarray, need: np.ndarray, doc: np.ndarray, side: np.ndarra
         weight[root[:, None] == root[None]] = 0
 
 
-def met(windows: DataFrame, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
-    """(hash, a, b) of the pairs of windows of a group, in blocks; rows of a block follow each other."""
-    names = ["key", "left", "right", "doc_id", "c", "l", "r", "hash", "mine", "shingles"]
-    window = "struct<doc_id: long, c: int, l: int, r: int>"
-    kind = pa.struct([("doc_id", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())])
+def _lone(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether no other owner has the value."""
+    order = np.lexsort((owner, flat))
+    v, o = flat[order], owner[order]
+    head = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+    size = np.diff(np.append(head, len(v)))
+    out = np.empty(len(v), bool)
+    out[order] = np.repeat(o[head] == o[head + size - 1], size)
+    return out
+
+
+def _joined(patterns: list[tuple[int, np.ndarray]], fewest: np.ndarray, side: np.ndarray, least: int, similarity: float) -> tuple[list[bool], list[tuple[int, int]]]:
+    """Of patterns (place of the min-hash, shingles), whose passages have `fewest` different shingles at the least: whether its own copies share a passage, and verified pairs that connect all."""
+    live = [np.unique(x[x != 0]) for _, x in patterns]
+    maps, lost = _bitmaps(np.concatenate(live), np.concatenate(([0], np.cumsum([len(x) for x in live]))), 0)
+    alike = lambda i, j: _alike(patterns[i][1], patterns[j][1], patterns[i][0], patterns[j][0], least, similarity)
+    return [alike(i, i) for i in range(len(patterns))], _forest(maps, similarity / (1 + similarity) * fewest, -lost, side, alike)
+
+
+def _groups(names: list[str], make: Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """make of all rows of whole groups, which are equal in `names` and follow each other, with first row and size of each."""
 
-    def pairs(table_: pa.Table) -> Iterator[pa.RecordBatch]:
+    def whole(table_: pa.Table) -> Iterator[pa.RecordBatch]:
         table_ = table_.combine_chunks()
-        group = np.stack([table_[n].to_numpy().astype(np.int64) for n in names[:3]])
-        first = np.flatnonzero(np.concatenate(([True], (group[:, 1:] != group[:, :-1]).any(0))))
-        size = np.diff(np.append(first, table_.num_rows))
-        doc, c, l, side = (table_[n].to_numpy() for n in ("doc_id", "c", "l", "mine"))  # noqa: E741
+        ids = [table_[n].to_numpy() for n in names]
+        first = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in ids], 0))))
+        return make(table_, first, np.diff(np.append(first, table_.num_rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest = [*(rest or []), batch]
+            if all(batch.column(batch.schema.get_field_index(n))[-1].equals(rest[0].column(batch.schema.get_field_index(n))[0]) for n in names):
+                continue  # sorted: all of one group
+            now = pa.Table.from_batches(rest)
+            last = np.flatnonzero(np.any([x != x[-1] for x in (now[n].to_numpy() for n in names)], 0))
+            k = int(last[-1]) + 1  # the last group may go on in the next batch
+            yield from whole(now.slice(0, k))
+            rest = now.slice(k).to_batches()
+        if rest:
+            yield from whole(pa.Table.from_batches(rest))
+
+    return tn.tidy(run)
+
+
+_WINDOW = "struct<doc_id: long, c: int, l: int, r: int>"
+_KIND = pa.struct([("doc_id", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())])
+
+
+def _windows(table_: pa.Table, rows: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([table_[n].combine_chunks().take(pa.array(rows)).cast(k.type) for n, k in zip(("doc_id", "c", "l", "r"), _KIND, strict=True)], fields=list(_KIND))
+
+
+def met(windows: DataFrame, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
+    """(hash, a, b) of the pairs of windows of groups that one task takes."""
+    names = ["key", "doc_id", "c", "l", "r", "hash", "reach", "fewest", "shingles"]
+
+    def pairs(table_: pa.Table, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc, c, l, reach, fewest = (table_[n].to_numpy() for n in ("doc_id", "c", "l", "reach", "fewest"))  # noqa: E741
         shingles = table_["shingles"].to_pylist()
         cut = np.concatenate(([0], np.cumsum([len(x) // 4 for x in shingles])))
         flat = np.frombuffer(b"".join(shingles), np.uint32)
-        at = c - np.maximum(l, c - least + 1)
-        small = (size <= SMALL) & (group[1, first] == group[2, first])
+        at = c - np.maximum(l, c - reach + 1)
+        small = size <= SMALL
         own = np.flatnonzero(np.repeat(small, size))
-        found = []
+        found = [np.zeros((2, 0), np.int64)]
         if len(own):
-            maps, need = _bitmaps(np.concatenate([flat[cut[i] : cut[i + 1]] for i in own]), np.concatenate(([0], np.cumsum(np.diff(cut)[own]))))
+            maps, need = _bitmaps(np.concatenate([flat[cut[i] : cut[i + 1]] for i in own]), np.concatenate(([0], np.cumsum(np.diff(cut)[own]))), least - _unshared(least, similarity))
             n = (np.repeat(first + size, size)[own] - own - 1).astype(np.int64)
             i = np.repeat(np.arange(len(own)), n)
             j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -215,42 +303,121 @@ def met(windows: DataFrame, least: int = LEAST, similarity: float = SIMILARITY)
                 good = (np.bitwise_count(maps[x] & maps[y]).sum(1) >= np.maximum(need[x], need[y])) & (doc[own[x]] != doc[own[y]])
                 found.append(np.stack((own[x[good]], own[y[good]])))
         for f, n in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
-            maps, need = _bitmaps(flat[cut[f] : cut[f + n]], cut[f : f + n + 1] - cut[f])
-            part = lambda i: flat[cut[f + i] : cut[f + i + 1]]  # noqa: B023, E731
-            joined = _forest(maps, need, doc[f : f + n], side[f : f + n], lambda i, j: _alike(part(i), part(j), int(at[f + i]), int(at[f + j]), least, similarity))  # noqa: B023
-            if group[1, f] != group[2, f]:
-                joined = [(i, j) for i, j in joined if side[f + i] != side[f + j]]  # the others are found where the block meets itself
-            found.append(np.array(joined, np.int64).reshape(-1, 2).T + f)
+            part = flat[cut[f] : cut[f + n]].copy()
+            part[_lone(part, np.repeat(np.arange(n), np.diff(cut[f : f + n + 1])))] = 0
+            classes: dict[tuple[int, bytes], list[int]] = {}
+            for i in range(f, f + n):
+                x = part[cut[i] - cut[f] : cut[i + 1] - cut[f]]
+                live = np.flatnonzero(x)
+                if len(live) and len(np.unique(x[live])) >= similarity * fewest[i] - 1e-9:
+                    classes.setdefault((int(at[i] - live[0]), x[live[0] : live[-1] + 1].tobytes()), []).append(i)
+            if classes:
+                members = list(classes.values())
+                itself, edges = _joined([(a, np.frombuffer(x, np.uint32)) for a, x in classes], np.array([min(fewest[m]) for m in members]), np.zeros(len(classes)), least, similarity)
+                hub = {k: m[0] for k, (m, x) in enumerate(zip(members, itself, strict=True)) if x}
+                for i, j in edges:
+                    hub.setdefault(i, members[j][0])
+                    hub.setdefault(j, members[i][0])
+                out = [(members[i][0], members[j][0]) for i, j in edges] + [(i, h) for k, h in hub.items() for i in members[k]]
+                found.append(np.array([x for x in out if doc[x[0]] != doc[x[1]]], np.int64).reshape(-1, 2).T)
         both = np.concatenate(found, 1)
         if both.shape[1]:
             i, j = np.where(doc[both[0]] > doc[both[1]], both, both[::-1])
-            sides = [pa.StructArray.from_arrays([table_[n].combine_chunks().take(pa.array(x)).cast(k.type) for n, k in zip(("doc_id", "c", "l", "r"), kind, strict=True)], fields=list(kind)) for x in (i, j)]
-            yield pa.RecordBatch.from_arrays([table_["hash"].combine_chunks().take(pa.array(i)), *sides], ["hash", "a", "b"])
+            yield pa.RecordBatch.from_arrays([table_["hash"].combine_chunks().take(pa.array(i)), _windows(table_, i), _windows(table_, j)], ["hash", "a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            ids = [now[n].to_numpy() for n in names[:3]]
-            last = np.flatnonzero(np.any([x != x[-1] for x in ids], 0))
-            k = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-            if k:
-                yield from pairs(now.slice(0, k))
-            rest = now.slice(k)
-        if rest is not None:
-            yield from pairs(rest)
+    dealt = windows.select(*names).repartition("key").sortWithinPartitions("key", "doc_id", "c")
+    return dealt.mapInArrow(_groups(["key"], pairs), f"hash int, a {_WINDOW}, b {_WINDOW}")
+
+
+def met_widely(windows: DataFrame, least: int = LEAST, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """The same of groups that many tasks share.
+
+    Shingles that one window of a group alone has are told by parts of the shingles. Windows with equal others, at equal
+    places around c, are a class, for which one is compared, in blocks of classes.
+    """
 
-    dealt = windows.select(*names).repartition("key", "left", "right").sortWithinPartitions(*names[:5])
-    return dealt.mapInArrow(tn.tidy(run), f"hash int, a {window}, b {window}")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, l, reach, n = (batch.column(batch.schema.get_field_index(x)).to_numpy().astype(np.int64) for x in ("c", "l", "reach", "n"))  # noqa: E741
+            shingles = batch.column(batch.schema.get_field_index("shingles")).to_pylist()
+            size = np.array([len(x) // 4 for x in shingles])
+            row = np.repeat(np.arange(len(size)), size)
+            flat = np.frombuffer(b"".join(shingles), np.uint32)
+            where = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.maximum(l - c, 1 - reach)[row]
+            part = tn.mix(flat.astype(_U)) % np.ceil(n / block).astype(_U)[row]
+            order = np.lexsort((part, row))
+            row, part, value = row[order], part[order].astype(np.int32), ((where + (1 << 20)) << 32 | flat.astype(np.int64))[order]
+            head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (part[1:] != part[:-1]))))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(value))
+            key, section = (batch.column(batch.schema.get_field_index(x)).take(pa.array(row[head])) for x in ("key", "section"))
+            yield pa.RecordBatch.from_arrays([key, pa.array(part[head]), section, lists], ["key", "part", "section", "its"])
+
+    def shared(table_: pa.Table, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lists = table_["its"].combine_chunks()
+        n = lists.value_lengths().to_numpy()
+        value = lists.flatten().to_numpy()
+        row, group = np.repeat(np.arange(len(n)), n), np.repeat(np.repeat(np.arange(len(first)), size), n)
+        keep = ~_lone(group << 32 | (value & 0xFFFFFFFF), row)
+        cut = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(n))))).astype(np.int32)
+        out = pa.RecordBatch.from_arrays([table_["key"].combine_chunks(), table_["section"].combine_chunks(), pa.ListArray.from_arrays(pa.array(cut), pa.array(value[keep]))], ["key", "section", "its"])
+        yield out.filter(pa.array(np.diff(cut) > 0))
+
+    dealt = windows.select("key", "section", "n", "c", "l", "reach", "shingles").mapInArrow(tn.tidy(deal), "key long, part int, section long, its array<long>")
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
+    its = dealt.mapInArrow(_groups(["key", "part"], shared), "key long, section long, its array<long>")
+    its = its.groupBy("key", "section").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("its")))).alias("its"))
+    window = F.struct("doc_id", "c", "l", "r")
+    members = its.join(windows.select("key", "section", "hash", "fewest", window.alias("own")), ["key", "section"])
+    # a passage has in common with another that share of its different shingles at the least
+    members = members.where(F.size(F.array_distinct(F.transform("its", lambda x: x.bitwiseAND(0xFFFFFFFF)))) >= similarity * F.col("fewest") - 1e-9)
+    members = materialize(members.withColumn("class", F.xxhash64("its")))
+    classes = materialize(members.groupBy("key", "class").agg(F.min(F.struct("own", "hash", "its")).alias("w"), F.min("fewest").alias("fewest")).select("key", "class", "w.*", "fewest"))
+    blocks = classes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    met_ = classes.join(blocks, "key").withColumn("mine", F.pmod("class", F.col("blocks")).cast("int"))
+    met_ = met_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met_ = met_.select("key", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "mine", "class", "hash", "own.*", "fewest", "its")
+
+    def edges(table_: pa.Table, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right, side, fewest = (table_[n].to_numpy() for n in ("left", "right", "mine", "fewest"))
+        lists = table_["its"].combine_chunks()
+        cut = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        value = lists.flatten().to_numpy()
+        where, flat = (value >> 32) - (1 << 20), (value & 0xFFFFFFFF).astype(np.uint32)
+        found = []
+        for f, n in zip(first.tolist(), size.tolist(), strict=True):
+            patterns = []
+            for i in range(f, f + n):
+                w = where[cut[i] : cut[i + 1]]
+                x = np.zeros(w[-1] - w[0] + 1, np.uint32)
+                x[w - w[0]] = flat[cut[i] : cut[i + 1]]
+                patterns.append((int(-w[0]), x))
+            itself, joined = _joined(patterns, fewest[f : f + n], side[f : f + n], least, similarity)
+            if left[f] != right[f]:
+                joined = [(i, j) for i, j in joined if side[f + i] != side[f + j]]  # the others are found where the block meets itself
+            else:
+                joined += [(i, i) for i in range(n) if itself[i]]
+            found += [(f + i, f + j) for i, j in joined]
+        if found:
+            i, j = np.array(found).T
+            of = lambda name, rows: table_[name].combine_chunks().take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([of("key", i), of("hash", i), of("class", i), of("class", j), _windows(table_, i), _windows(table_, j)], ["key", "hash", "x", "y", "a", "b"])
+
+    met_ = met_.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "class")
+    joined = materialize(met_.mapInArrow(_groups(["key", "left", "right"], edges), f"key long, hash int, x long, y long, a {_WINDOW}, b {_WINDOW}"))
+    # all of a class hang together by its first window, or else by one of another class
+    one = lambda c, w: joined.select("key", F.col(c).alias("class"), F.struct((F.col("x") != F.col("y")).alias("far"), F.col(w).alias("hub")).alias("h"))
+    hubs = one("x", "b").unionByName(one("y", "a")).groupBy("key", "class").agg(F.min("h").alias("h"))
+    pairs = members.join(hubs, ["key", "class"]).select("hash", F.col("own").alias("a"), F.col("h.hub").alias("b")).unionByName(joined.select("hash", "a", "b"))
+    swap = F.col("a.doc_id") < F.col("b.doc_id")
+    return pairs.where("a.doc_id != b.doc_id").select("hash", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 def candidates(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(doc_id, other_id, shift, start, end, hashes): stretches of shingles from start to end, of other_id from start - shift on."""
+    """(doc_id, other_id, shift, start, end, other_start, other_end, hashes): stretches of shingles to verify."""
     rows = window_rows(docs, hashes, least)
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    kept = materialize(rows.join(materialize(shared), "key").select("key", "hash", "doc_id", "c", "l", "r", "section"))
+    shared = materialize(shared)
+    kept = materialize(rows.join(shared, "key").select("key", "hash", "doc_id", "c", "l", "r", "section"))
     window = F.struct("doc_id", "c", "l", "r")
     ends = materialize(kept.groupBy("key", "section").agg(F.first("hash").alias("hash"), F.min(window).alias("first"), F.max(window).alias("last")))
     # windows with equal sections share them: each is paired with the first and the last
@@ -258,19 +425,22 @@ def candidates(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, simila
     # the window with the greater id comes first
     both = F.array(F.struct(F.col("own").alias("a"), F.col("first").alias("b")), F.struct(F.col("last").alias("a"), F.col("own").alias("b")))
     pairs = equal.select("hash", F.explode(F.filter(both, lambda p: p["a"]["doc_id"] > p["b"]["doc_id"])).alias("p")).select("hash", "p.a", "p.b")
-    # different sections meet in blocks
-    groups = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    wanted = ends.join(groups, "key").select("first.doc_id", F.struct("key", "hash", "section", "blocks", "first.c", "first.l", "first.r").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("windows"))
-    inside = sections(docs, wanted, least).withColumn("mine", F.pmod(F.xxhash64("doc_id", "c"), F.col("blocks")).cast("int"))
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.withColumns({"left": F.least("mine", "other"), "right": F.greatest("mine", "other")})
-    pairs = pairs.unionByName(met(inside, least, similarity))
-    shift = F.col("a.c") - F.col("b.c")
-    pairs = pairs.select(
-        F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other_id"), shift.alias("shift"), "hash",
-        F.greatest("a.l", F.col("b.l") + shift).alias("start"), (F.least("a.r", F.col("b.r") + shift) + 1).alias("end"),
-    ).where(F.col("end") - F.col("start") >= least)
-    found = pairs.groupBy("doc_id", "other_id", "shift").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.expr("bit_count(bit_or(shiftleft(1, hash)))").alias("hashes"))
+    # different sections meet
+    groups = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    reach = F.when(F.col("n") > SMALL, _reach(least, similarity)).otherwise(least).cast("int").alias("reach")
+    wanted = ends.join(groups, "key").select("first.doc_id", F.struct("key", "hash", "section", "n", reach, "first.c", "first.l", "first.r").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("windows"))
+    inside = materialize(sections(docs, wanted, least))
+    pairs = pairs.unionByName(met(inside.where(F.col("n") <= block), least, similarity))
+    pairs = pairs.unionByName(met_widely(inside.where(F.col("n") > block), least, similarity, block))
+    # insertions may shift a passage on either side of c
+    slack, shift = F.lit(_unshared(least, similarity)), F.col("shift")
+    pairs = pairs.withColumn("shift", F.col("a.c") - F.col("b.c")).select(
+        F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other_id"), "shift", "hash",
+        F.greatest("a.l", F.col("b.l") + shift - slack).alias("start"), (F.least("a.r", F.col("b.r") + shift + slack) + 1).alias("end"),
+        F.greatest("b.l", F.col("a.l") - shift - slack).alias("other_start"), (F.least("b.r", F.col("a.r") - shift + slack) + 1).alias("other_end"),
+    )
+    edges = [F.min(c).alias(c) if c.endswith("start") else F.max(c).alias(c) for c in ("start", "end", "other_start", "other_end")]
+    found = pairs.groupBy("doc_id", "other_id", "shift").agg(*edges, F.expr("bit_count(bit_or(shiftleft(1, hash)))").alias("hashes"))
     return materialize(found)
 
 
@@ -314,8 +484,6 @@ def shared_spans(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: f
     total = np.concatenate(([0], np.cumsum(hit)))
     # equal lengths and similarity s share 2s / (1 + s) of their shingles
     dense = total[least:] - total[:-least] >= _shared(least, similarity)
-    if not dense.any():
-        return []
     edge = np.diff(np.concatenate(([0], dense.astype(np.int8), [0])))
     out = []
     for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + least - 1, strict=True):
@@ -336,6 +504,72 @@ def shared_spans(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: f
             k = s + int(np.argmax(total[s + least : e + 1] - total[s : e + 1 - least]))
             found = [_span(a, b, k, k + least, hit, place, least, similarity)]
         out += filter(None, found)
+    return out or _chained(a, b, hit, place, least, similarity)
+
+
+def _chained(a, b, hit, place, least, similarity):
+    """The longest passage whose common shingles follow each other in both sequences, wherever the others lie."""
+    at = np.flatnonzero(hit)
+    if len(at) < _shared(least, similarity):
+        return []
+    there = place[at]
+    if (np.diff(there) <= 0).any():
+        keep = _increasing(there)
+        at, there = at[keep], there[keep]
+    n, best = len(at), None
+    # n shingles in common of x and y are similar enough if (1 + similarity) * n >= similarity * (x + y), so from p to q if the score of q is not far below that of p
+    score = (1 + similarity) * np.arange(n) - similarity * (at + there)
+    low, most = np.minimum.accumulate(score), score + 1 - similarity + 1e-9
+    last = np.minimum(np.searchsorted(at, at - least + 1, "right"), np.searchsorted(there, there - least + 1, "right")) - 1
+    ends = np.flatnonzero((last >= 0) & (low[np.maximum(last, 0)] <= most))
+    if len(ends):
+        first = np.searchsorted(-low, -most[ends], "left")
+        k = np.argmax(at[ends] - at[first])
+        best = int(first[k]), int(ends[k])
+    for m in range(min(n, least - 1), _shared(least, similarity) - 1, -1):  # those that others must fill up to `least`
+        if best:
+            break
+        p, q = np.arange(n - m + 1), np.arange(m - 1, n)
+        size = np.maximum(at[q] - at[p] + 1, least) + np.maximum(there[q] - there[p] + 1, least)
+        good = np.flatnonzero((1 + similarity) * m >= similarity * size - 1e-9)
+        if len(good):
+            best = int(good[0]), int(good[0]) + m - 1
+    if not best:
+        return []
+    s, e, s2, e2 = (int(x) for i in (at, there) for x in (i[best[0]], i[best[1]] + 1))
+    s, s2 = (min(x, max(0, y - least)) for x, y in ((s, e), (s2, e2)))
+    e, e2 = max(e, s + least), max(e2, s2 + least)
+    likeness = _likeness(a[s:e], b[s2:e2])
+    return [(s, e, s2, e2, likeness)] if likeness >= similarity - 1e-9 else []
+
+
+def _likeness(x: np.ndarray, y: np.ndarray) -> float:
+    x, y = np.unique(x), np.unique(y)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _increasing(x: np.ndarray) -> np.ndarray:
+    """Positions of a longest increasing subsequence."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before = []
+    for i, v in enumerate(x.tolist()):
+        k = bisect_left(tails, v)
+        before.append(ends[k - 1] if k else -1)
+        tails[k : k + 1], ends[k : k + 1] = [v], [i]
+    out, i = [], ends[-1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1])
+
+
+def common_spans(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
+    """shared_spans from whichever side has them, or the whole of both."""
+    out = shared_spans(a, b, least, similarity) or [(s, e, s2, e2, x) for s2, e2, s, e, x in shared_spans(b, a, least, similarity)]
+    if not out and min(len(a), len(b)) >= least and (x := _likeness(a, b)) >= similarity - 1e-9:
+        out = [(0, len(a), 0, len(b), x)]
     return out
 
 
@@ -367,9 +601,7 @@ def _span(a, b, s, e, hit, place, least, similarity):
     if not len(near):
         return None
     s2, e2 = int(near.min()), int(near.max()) + 1
-    x, y = np.unique(a[s:e]), np.unique(b[s2:e2])
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    likeness = both / (len(x) + len(y) - both)
+    likeness = _likeness(a[s:e], b[s2:e2])
     return (int(s), int(e), s2, e2, likeness) if likeness >= similarity - 1e-9 else None
 
 
@@ -381,11 +613,10 @@ def _shingles(texts: pa.Array) -> Iterator[np.ndarray]:
         yield from (s[cut[i] : cut[i + 1]] for i in range(b - a))
 
 
-def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similarity: float = SIMILARITY) -> DataFrame:
+def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = candidates(docs, hashes, least, similarity)
-    its = [(F.col(c) - F.col("shift")).alias(f"other_{c}") for c in ("start", "end")]
-    found = found.select("doc_id", "other_id", "start", "end", *its)
+    found = candidates(docs, hashes, least, similarity, block)
+    found = found.select("doc_id", "other_id", "start", "end", "other_start", "other_end")
     spans = found.select("doc_id", "start", "end").unionByName(found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))
     pieces = materialize(stretches(docs, spans.distinct()))
     right = pieces.select(F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), F.col("piece").alias("b"))
@@ -398,7 +629,7 @@ def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similari
             out = []
             ids, others, starts, starts2 = (batch.column(k).to_pylist() for k in range(4))
             for i, (a, b) in enumerate(zip(_shingles(batch.column(4)), _shingles(batch.column(5)), strict=True)):
-                for s, e, s2, e2, likeness in shared_spans(a, b, least, similarity):
+                for s, e, s2, e2, likeness in common_spans(a, b, least, similarity):
                     o, o2 = starts[i], starts2[i]
                     out.append((ids[i], o + s, o + e + WORDS - 1, others[i], o2 + s2, o2 + e2 + WORDS - 1, likeness))
             if out:

@@ -106,3 +106,43 @@ def test_whole_extent_beside_an_insertion():
     spans = passages.shared_spans(a, b)
     covered = {i for s, e, *_ in spans for i in range(s, e)}
     assert len(covered) >= 180 and all(x[4] >= 0.8 for x in spans)
+
+
+def test_changed_words_in_the_middle():
+    """Three words changed in the middle of 72 leave 61 of 68 shingles, a similarity of 0.81, but no 46 that are as similar."""
+    rng = np.random.default_rng(4)
+    word = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    p = word(68)
+    q = p.copy()
+    q[30:37] = word(7)
+    (*span, likeness), = passages.shared_spans(np.concatenate((word(40), p, word(40))), np.concatenate((word(35), q, word(50))))
+    assert span == [40, 108, 35, 103] and likeness == 61 / 75
+
+
+@pytest.mark.parametrize("copies", [2, 40])
+def test_changed_words_in_the_middle_are_found(run, write, copies):
+    """So they are found where the min-hash lies at the passage's edge, and in groups of any size."""
+    rng = random.Random(9)
+    texts, pairs, passage = [], [], words(rng, 72)
+    for k in range(60 if copies == 2 else 1):
+        passage = words(rng, 72)
+        for i in range(copies):
+            other = [*passage[:34], *(words(rng, 3) if i else passage[34:37]), *passage[37:]]
+            texts.append([*words(rng, 30), *other, *words(rng, 30)])
+            pairs += [(len(texts) - 1 - i, len(texts) - 1)] * bool(i)
+    root = linked(run("op4_passages", write(docs=rows_of(texts))))
+    assert sum(root.get(b, b) == a for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_large_groups_have_the_components_of_all_pairs(spark):
+    """Groups shared by tasks, in blocks of 8, and those of one task connect the documents that all pairs connect."""
+    rng = random.Random(13)
+    core, texts = words(rng, 40), []
+    for _ in range(12):  # each family has its words around the same 40, too few for a passage
+        before, after = words(rng, 26), words(rng, 26)
+        for more in (0, 1, 0, 2):
+            texts.append([*words(rng, 30), *before, *words(rng, more), *core, *words(rng, more), *after, *words(rng, 30)])
+    texts += [[*words(rng, 30), *core, *words(rng, 30)] for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = [{i: r for i, r in linked(r.asDict() for r in passages.passages(docs, block=block).collect()).items()} for block in (8, 512)]
+    assert found[0] == found[1] and {i: r for i, r in found[0].items()} == {i: i - i % 4 for i in range(48)}
