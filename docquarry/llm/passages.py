@@ -66,6 +66,18 @@ BLOCK, SMALL = 512, 32
 _BITS = 2048
 
 
+def _settled(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """df in the shared folder; the tables `done` and the shuffles that made it go, since their sum would take several times the input's disk."""
+    out = materialize(df)
+    jvm = df.sparkSession._jvm
+    for table_ in done:
+        for path in {f.rsplit("/", 1)[0] for f in table_.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    jvm.System.gc()  # Spark removes the shuffles of plans that are no more
+    return out
+
+
 def window_rows(docs: DataFrame, hashes: int = HASHES, least: int = LEAST) -> DataFrame:
     """(key, hash, doc_id, c, l, r, section) of each compact window; section is a hash of its shingles less than `least` away from c."""
     by = tn.seeds(hashes, 5)
@@ -370,8 +382,8 @@ def met_widely(windows: DataFrame, least: int = LEAST, similarity: float = SIMIL
     members = its.join(windows.select("key", "section", "hash", "fewest", window.alias("own")), ["key", "section"])
     # a passage has in common with another that share of its different shingles at the least
     members = members.where(F.size(F.array_distinct(F.transform("its", lambda x: x.bitwiseAND(0xFFFFFFFF)))) >= similarity * F.col("fewest") - 1e-9)
-    members = materialize(members.withColumn("class", F.xxhash64("its")))
-    classes = materialize(members.groupBy("key", "class").agg(F.min(F.struct("own", "hash", "its")).alias("w"), F.min("fewest").alias("fewest")).select("key", "class", "w.*", "fewest"))
+    members = _settled(members.withColumn("class", F.xxhash64("its")))
+    classes = _settled(members.groupBy("key", "class").agg(F.min(F.struct("own", "hash", "its")).alias("w"), F.min("fewest").alias("fewest")).select("key", "class", "w.*", "fewest"))
     blocks = classes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     met_ = classes.join(blocks, "key").withColumn("mine", F.pmod("class", F.col("blocks")).cast("int"))
     met_ = met_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -403,7 +415,7 @@ def met_widely(windows: DataFrame, least: int = LEAST, similarity: float = SIMIL
             yield pa.RecordBatch.from_arrays([of("key", i), of("hash", i), of("class", i), of("class", j), _windows(table_, i), _windows(table_, j)], ["key", "hash", "x", "y", "a", "b"])
 
     met_ = met_.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "class")
-    joined = materialize(met_.mapInArrow(_groups(["key", "left", "right"], edges), f"key long, hash int, x long, y long, a {_WINDOW}, b {_WINDOW}"))
+    joined = _settled(met_.mapInArrow(_groups(["key", "left", "right"], edges), f"key long, hash int, x long, y long, a {_WINDOW}, b {_WINDOW}"))
     # all of a class hang together by its first window, or else by one of another class
     one = lambda c, w: joined.select("key", F.col(c).alias("class"), F.struct((F.col("x") != F.col("y")).alias("far"), F.col(w).alias("hub")).alias("h"))
     hubs = one("x", "b").unionByName(one("y", "a")).groupBy("key", "class").agg(F.min("h").alias("h"))
@@ -416,10 +428,10 @@ def candidates(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, simila
     """(doc_id, other_id, shift, start, end, other_start, other_end, hashes): stretches of shingles to verify."""
     rows = window_rows(docs, hashes, least)
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    shared = materialize(shared)
-    kept = materialize(rows.join(shared, "key").select("key", "hash", "doc_id", "c", "l", "r", "section"))
+    shared = _settled(shared)
+    kept = _settled(rows.join(shared, "key").select("key", "hash", "doc_id", "c", "l", "r", "section"), shared)
     window = F.struct("doc_id", "c", "l", "r")
-    ends = materialize(kept.groupBy("key", "section").agg(F.first("hash").alias("hash"), F.min(window).alias("first"), F.max(window).alias("last")))
+    ends = _settled(kept.groupBy("key", "section").agg(F.first("hash").alias("hash"), F.min(window).alias("first"), F.max(window).alias("last")))
     # windows with equal sections share them: each is paired with the first and the last
     equal = kept.select("key", "section", "hash", window.alias("own")).join(ends.where("first.doc_id < last.doc_id").drop("hash"), ["key", "section"])
     # the window with the greater id comes first
@@ -429,7 +441,7 @@ def candidates(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, simila
     groups = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     reach = F.when(F.col("n") > SMALL, _reach(least, similarity)).otherwise(least).cast("int").alias("reach")
     wanted = ends.join(groups, "key").select("first.doc_id", F.struct("key", "hash", "section", "n", reach, "first.c", "first.l", "first.r").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("windows"))
-    inside = materialize(sections(docs, wanted, least))
+    inside = _settled(sections(docs, wanted, least))
     pairs = pairs.unionByName(met(inside.where(F.col("n") <= block), least, similarity))
     pairs = pairs.unionByName(met_widely(inside.where(F.col("n") > block), least, similarity, block))
     # insertions may shift a passage on either side of c
@@ -441,7 +453,7 @@ def candidates(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, simila
     )
     edges = [F.min(c).alias(c) if c.endswith("start") else F.max(c).alias(c) for c in ("start", "end", "other_start", "other_end")]
     found = pairs.groupBy("doc_id", "other_id", "shift").agg(*edges, F.expr("bit_count(bit_or(shiftleft(1, hash)))").alias("hashes"))
-    return materialize(found)
+    return _settled(found, kept, ends, inside)
 
 
 def stretches(docs: DataFrame, wanted: DataFrame, at_once: int = 1024) -> DataFrame:
@@ -618,7 +630,7 @@ def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similari
     found = candidates(docs, hashes, least, similarity, block)
     found = found.select("doc_id", "other_id", "start", "end", "other_start", "other_end")
     spans = found.select("doc_id", "start", "end").unionByName(found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))
-    pieces = materialize(stretches(docs, spans.distinct()))
+    pieces = _settled(stretches(docs, spans.distinct()))
     right = pieces.select(F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), F.col("piece").alias("b"))
     both = found.join(pieces.withColumnRenamed("piece", "a"), ["doc_id", "start", "end"]).join(right, ["other_id", "other_start", "other_end"])
 
@@ -639,7 +651,7 @@ def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similari
     # verifying takes long for its bytes, so its partitions are not to be merged
     dealt = both.select("doc_id", "other_id", "start", "other_start", "a", "b").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "other_id", "start")
     rows = dealt.mapInArrow(tn.tidy(verify), schema).dropDuplicates(["doc_id", "start", "end", "other_id", "other_start", "other_end"])
-    rows = materialize(rows)
+    rows = _settled(rows, found, pieces)
     group = components(rows.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
     return rows.join(group, "doc_id")
 
