@@ -36,8 +36,7 @@ def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
-    return mixing.repeat(docs, mixing.mix(sized, mixing.plan(sized)))
+    return mixing.repeated(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,20 +154,42 @@ def query(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
     return mix(sized, plan(sized), seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def repeated(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """docs as often as the mix takes their words.
+
+    The rows are written once with their sizes, and the sources' figures go to them: only rows
+    of the slices at the ends of the fractions are dealt out, so texts are neither shuffled nor
+    sorted. With more sources than may be broadcast, rows and their words are joined.
+    """
+    size = word_count(docs["text"]).alias("size")
+    rows = materialize(docs.select("doc_id", "source", size, F.struct(*docs.columns).alias("row")))  # a struct, so that no name clashes
+    planned = plan(rows)
+    if not planned[1]:
+        return repeat(docs, mix(rows.drop("row"), planned, seed))
+    return _copies(mix(rows, planned, seed).where(F.col("taken") > 0).select("row", "size", "taken"))
+
+
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs as often as its words are taken: whole copies, then a last one cut to the words that are left.
 
     Rows taken 0 words go; of rows with equal ids and sizes each is taken as the most taken
-    of them. n_chars, where there is one, is counted anew in cut copies.
+    of them.
     """
-    row, size, taken = F.col("row"), F.col("mix.size"), F.col("mix.taken")
     chosen = mixed.where(F.col("taken") > 0).groupBy("doc_id", "size").agg(F.max("taken").alias("taken")).select(F.struct("doc_id", "size", "taken").alias("mix"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), word_count(docs["text"]).alias("size"))  # a struct, so that no name clashes
-    copies = rows.join(chosen, row["doc_id"].eqNullSafe(F.col("mix.doc_id")) & (F.col("size") == size)).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((taken - 1) / size))))
+    met = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("mix.doc_id")) & (F.col("size") == F.col("mix.size")))
+    return _copies(met.select("row", "size", F.col("mix.taken").alias("taken")))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """The rows of (row, size, taken), each as often as it is taken; n_chars, where there is one, is counted anew in cut copies."""
+    row, size, taken = F.col("row"), F.col("size"), F.col("taken")
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((taken - 1) / size))))
     words = F.least(size, taken - F.col("copy") * size)
     pieces = F.regexp_extract_all(row["text"], F.lit(SEPARATORS[:-1] + "*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(pieces, 1, words.cast("int")), "")
     shorter = row.withField("text", cut)
-    if "n_chars" in docs.columns:
-        shorter = shorter.withField("n_chars", F.char_length(cut).cast(docs.schema["n_chars"].dataType))
+    names = {f.name: f.dataType for f in rows.schema["row"].dataType.fields}
+    if "n_chars" in names:
+        shorter = shorter.withField("n_chars", F.char_length(cut).cast(names["n_chars"]))
     return copies.select(F.when(words < size, shorter).otherwise(row).alias("row")).select("row.*")

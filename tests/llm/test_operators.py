@@ -250,6 +250,16 @@ def test_water_filling(sources):
     assert len(set(level)) <= 1 and all(Fraction(t, w) <= level[0] for t, w in zip(got, weights, strict=True)) if level else True
 
 
+def test_mixing_takes_each_of_equal_rows_its_own_words(spark):
+    """Rows with equal ids and sizes at the end of the fraction: the target is met to the word, and texts are not shuffled but for the ends' slices."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}x{k}" for k in range(10)), "a", "clash") for i in range(9)], "doc_id long, text string, source string, size string")
+    got = mixing.repeated(docs)
+    assert got.columns == docs.columns
+    rows = [r["text"].split() for r in got.collect()]
+    assert sum(map(len, rows)) == 135 and {len(r) for r in rows} == {5, 10}
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixing_reruns_agree_and_repeats_texts(spark):
     rows = [(i, "a" if i % 3 else "b", f"w{i} \n" * (i % 7)) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
