@@ -66,15 +66,24 @@ BLOCK, SMALL = 512, 32
 _BITS = 2048
 
 
+#: Spark's setting by which a write's shuffles leave the disk as it ends; else they stay until the driver collects its garbage.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _settled(df: DataFrame, *done: DataFrame) -> DataFrame:
     """df in the shared folder; the tables `done` and the shuffles that made it go, since their sum would take several times the input's disk."""
-    out = materialize(df)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANED, "false")
+    conf.set(_CLEANED, "true")
+    try:
+        out = materialize(df)
+    finally:
+        conf.set(_CLEANED, before)
     jvm = df.sparkSession._jvm
     for table_ in done:
         for path in {f.rsplit("/", 1)[0] for f in table_.inputFiles()}:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    jvm.System.gc()  # Spark removes the shuffles of plans that are no more
     return out
 
 
@@ -182,10 +191,15 @@ def _alike(x: np.ndarray, y: np.ndarray, cx: int, cy: int, least: int, similarit
             more = (np.arange(len(v), least).astype(_U) << _U(34)) + (_U(side) << _U(32))
             x, y = (np.concatenate((x, more)), y) if side == 1 else (x, np.concatenate((y, more)))
     left, right = min(cx, cy), min(len(x) - cx, len(y) - cy)
-    other = np.flatnonzero(x[cx - left : cx + right] != y[cy - left : cy + right])
-    k = np.searchsorted(other, left)
-    if (other[k] if k < len(other) else left + right) - (other[k - 1] + 1 if k else 0) >= least:
-        return True
+    if left + right >= least:  # a stretch about as long at one shift tells without a search
+        total = np.zeros(left + right + 1, np.int64)
+        np.cumsum(x[cx - left : cx + right] == y[cy - left : cy + right], out=total[1:])
+        inside = total[least:] - total[:-least]
+        k = int(inside.argmax())
+        if inside[k] >= _shared(least, similarity):
+            a, b = cx - left + k, cy - left + k
+            if inside[k] == least or _likeness(x[a : a + least], y[b : b + least]) >= similarity - 1e-9:
+                return True
     return bool(common_spans(x, y, least, similarity))
 
 
@@ -493,9 +507,12 @@ def shared_spans(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: f
     if len(a) < least or len(b) < least:
         return []
     hit, place = _nearest(a, b)
-    total = np.concatenate(([0], np.cumsum(hit)))
+    total = np.zeros(len(hit) + 1, np.int64)
+    np.cumsum(hit, out=total[1:])
     # equal lengths and similarity s share 2s / (1 + s) of their shingles
     dense = total[least:] - total[:-least] >= _shared(least, similarity)
+    if not dense.any():
+        return _chained(a, b, hit, place, least, similarity)
     edge = np.diff(np.concatenate(([0], dense.astype(np.int8), [0])))
     out = []
     for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + least - 1, strict=True):
@@ -525,7 +542,7 @@ def _chained(a, b, hit, place, least, similarity):
     if len(at) < _shared(least, similarity):
         return []
     there = place[at]
-    if (np.diff(there) <= 0).any():
+    if (there[1:] <= there[:-1]).any():
         keep = _increasing(there)
         at, there = at[keep], there[keep]
     n, best = len(at), None
@@ -538,6 +555,9 @@ def _chained(a, b, hit, place, least, similarity):
         first = np.searchsorted(-low, -most[ends], "left")
         k = np.argmax(at[ends] - at[first])
         best = int(first[k]), int(ends[k])
+    few = _shared(least, similarity) - 1  # steps between the fewest of them, which the longest passage that they may fill has within it
+    if not best and (n <= few or (at[few:] - at[: n - few] + there[few:] - there[: n - few]).min() + 2 > (1 + similarity) / similarity * (least - 1) + 1e-6):
+        return []
     for m in range(min(n, least - 1), _shared(least, similarity) - 1, -1):  # those that others must fill up to `least`
         if best:
             break
@@ -556,11 +576,18 @@ def _chained(a, b, hit, place, least, similarity):
 
 
 def _likeness(x: np.ndarray, y: np.ndarray) -> float:
-    x, y = np.unique(x), np.unique(y)
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    x, y = _distinct(x), _distinct(y)
+    z = np.sort(np.concatenate((x, y)))
+    both = int(np.count_nonzero(z[1:] == z[:-1]))
     return both / (len(x) + len(y) - both)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = x[1:] != x[:-1]
+    return x if new.all() else np.concatenate((x[:1], x[1:][new]))
+
+
 def _increasing(x: np.ndarray) -> np.ndarray:
     """Positions of a longest increasing subsequence."""
     tails: list[int] = []
@@ -587,7 +614,13 @@ def common_spans(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: f
 
 def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether b has each value of a, and where: of several places the nearest to the value's own."""
-    known = np.unique(b)
+    order = np.argsort(b)
+    known = b[order]
+    new = known[1:] != known[:-1]
+    if new.all():  # one place each
+        rank = np.minimum(np.searchsorted(known, a), len(known) - 1)
+        return known[rank] == a, order[rank]
+    known = np.concatenate((known[:1], known[1:][new]))
     rank = np.minimum(np.searchsorted(known, a), len(known) - 1)
     hit = known[rank] == a
     n = len(a) + len(b)
@@ -625,14 +658,20 @@ def _shingles(texts: pa.Array) -> Iterator[np.ndarray]:
         yield from (s[cut[i] : cut[i + 1]] for i in range(b - a))
 
 
-def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similarity: float = SIMILARITY, block: int = BLOCK, together: int = 64) -> DataFrame:
+    """together: candidates of one stretch of the lesser document that one task verifies."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = candidates(docs, hashes, least, similarity, block)
     found = found.select("doc_id", "other_id", "start", "end", "other_start", "other_end")
-    spans = found.select("doc_id", "start", "end").unionByName(found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))
-    pieces = _settled(stretches(docs, spans.distinct()))
-    right = pieces.select(F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), F.col("piece").alias("b"))
-    both = found.join(pieces.withColumnRenamed("piece", "a"), ["doc_id", "start", "end"]).join(right, ["other_id", "other_start", "other_end"])
+    # one side's texts are fetched, then the other's, and shuffled once each; those of pairs are the most that the disk has to hold
+    left, right = ["doc_id", "start", "end"], ["other_id", "other_start", "other_end"]
+    wanted = _settled(found.groupBy(*right).agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("parts")))
+    spans = wanted.select(*(F.col(r).alias(c) for r, c in zip(right, left, strict=True)))
+    pieces = stretches(docs, spans).select(*(F.col(c).alias(r) for r, c in zip(right, left, strict=True)), F.col("piece").alias("b"))
+    pieces = _settled(pieces.join(wanted, right))
+    part = F.pmod(F.xxhash64(*left), F.col("parts")).cast("int").alias("part")
+    dealt = found.join(wanted, right).select(*left, *right, part)
+    dealt = _settled(dealt.join(stretches(docs, found.select(*left).distinct()).withColumnRenamed("piece", "a"), left), found, wanted)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "similarity"]
@@ -649,9 +688,11 @@ def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similari
 
     schema = "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double"
     # verifying takes long for its bytes, so its partitions are not to be merged
-    dealt = both.select("doc_id", "other_id", "start", "other_start", "a", "b").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "other_id", "start")
-    rows = dealt.mapInArrow(tn.tidy(verify), schema).dropDuplicates(["doc_id", "start", "end", "other_id", "other_start", "other_end"])
-    rows = _settled(rows, found, pieces)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met_ = dealt.repartition(n, *right, "part").join(split.repartition(n, *right, "part"), [*right, "part"])
+    rows = met_.select("doc_id", "other_id", "start", "other_start", "a", "b").mapInArrow(tn.tidy(verify), schema).dropDuplicates(["doc_id", "start", "end", "other_id", "other_start", "other_end"])
+    rows = _settled(rows, dealt, pieces)
     group = components(rows.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
     return rows.join(group, "doc_id")
 
