@@ -221,11 +221,55 @@ def _bitmaps(flat: np.ndarray, cut: np.ndarray, common: int) -> tuple[np.ndarray
     return np.packbits(bits, axis=1).view(_U), common - (n - bits.sum(1))
 
 
-def _forest(maps: np.ndarray, half: np.ndarray, lost: np.ndarray, side: np.ndarray, alike: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+def _hopeful(patterns: list[tuple[int, np.ndarray]], fewest: np.ndarray, least: int, similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function of i and others that tells with which of them i may share a passage; it leaves out none that does.
+
+    Two passages with c different shingles in common have c * (1 - similarity) / similarity others at the most, and one of
+    the two has half of these or fewer. So in one of two patterns there must be a stretch that has so many of the other's
+    shingles and so few else, as long as what a passage of `least` has in common with another at the least.
+    """
+    size = np.array([len(x) for _, x in patterns])
+    wide = max(least, int(size.max()))
+    grid = np.zeros((len(patterns), wide), np.int64)  # of each pattern; 0 is a shingle that no other has
+    values, ids = np.unique(np.concatenate([np.zeros(1, np.uint32), *(x for _, x in patterns)]), return_inverse=True)
+    grid[np.arange(wide) < size[:, None]] = ids[1:]
+    fresh = np.zeros(grid.size, bool)  # the first of equal ones
+    fresh[np.unique(grid + np.arange(len(grid))[:, None] * len(values), return_index=True)[1]] = True
+    loss = (fresh.reshape(grid.shape) | (grid == 0)).astype(np.float32)
+    gain = np.float32((1 - similarity) / (2 * similarity))
+    length = np.clip(np.ceil(similarity * fewest - 1e-9), 1, least).astype(np.int64)
+    place = np.full(len(values), -1)
+
+    def dense(hit: np.ndarray, loss: np.ndarray, length: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(hit), wide + 1), np.float32)
+        np.cumsum(np.where(hit, gain, -loss), 1, out=total[:, 1:])
+        start = np.arange(wide + 1) - length[:, None]
+        before = np.take_along_axis(np.minimum.accumulate(total, 1), np.maximum(start, 0), 1)
+        return ((total - before >= -1e-3) & (start >= 0)).any(1)
+
+    def may(i: int, others: np.ndarray) -> np.ndarray:
+        place[grid[i]] = np.arange(wide)
+        place[0] = -1
+        own, at = place[grid[i]], place[grid[others]]
+        place[grid[i]] = -1
+        out = dense(at >= 0, loss[others], np.full(len(others), length[i]))
+        rest = np.flatnonzero(~out)
+        if len(rest):
+            there = np.zeros((len(rest), wide + 1), bool)
+            there[np.arange(len(rest))[:, None], at[rest]] = True
+            there[:, wide] = False
+            out[rest] = dense(there[:, own], loss[i], length[others[rest]])
+        return out
+
+    return may
+
+
+def _forest(maps: np.ndarray, half: np.ndarray, lost: np.ndarray, side: np.ndarray, alike: Callable[[int, int], bool], may: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Verified pairs that connect all that verified pairs connect, those with most in common first, and of one block before others.
 
     Every pair that may pass and is not yet connected is verified, so none over the threshold is skipped. Passages have as
-    many shingles in common as the sum of their halves, of which a bitmap loses `lost` at the most.
+    many shingles in common as the sum of their halves, of which a bitmap loses `lost` at the most. Where that was not
+    enough once, `may` tells with which others it is worth a search.
     """
     n = len(maps)
     weight = np.zeros((n, n), np.int16)
@@ -233,7 +277,7 @@ def _forest(maps: np.ndarray, half: np.ndarray, lost: np.ndarray, side: np.ndarr
         common = np.bitwise_count(maps[i : i + 64, None] & maps[None]).sum(2, dtype=np.int16)
         good = common + np.minimum(lost[i : i + 64, None], lost[None]) >= half[i : i + 64, None] + half[None] - 1e-9
         weight[i : i + 64] = np.where(good, np.maximum(common, 1) + 8 * (side[i : i + 64, None] == side[None]), 0)
-    root, out = np.arange(n), []
+    root, told, out = np.arange(n), np.zeros(n, bool), []
     np.fill_diagonal(weight, 0)
     while True:
         best = weight.argmax(1)
@@ -242,12 +286,17 @@ def _forest(maps: np.ndarray, half: np.ndarray, lost: np.ndarray, side: np.ndarr
             return out
         for i in ask.tolist():
             j = int(best[i])
-            if root[i] != root[j]:
+            if root[i] != root[j] and weight[i, j]:
                 if alike(i, j):
                     out.append((i, j))
                     root[root == root[j]] = root[i]
-                else:
-                    weight[i, j] = weight[j, i] = 0
+                    continue
+                weight[i, j] = weight[j, i] = 0
+                others = np.flatnonzero((weight[i] > 0) & (root != root[i]))
+                if len(others) and not told[i]:
+                    no = others[~may(i, others)]
+                    weight[i, no] = weight[no, i] = 0
+                    told[i] = True
         weight[root[:, None] == root[None]] = 0
 
 
@@ -267,7 +316,7 @@ def _joined(patterns: list[tuple[int, np.ndarray]], fewest: np.ndarray, side: np
     live = [np.unique(x[x != 0]) for _, x in patterns]
     maps, lost = _bitmaps(np.concatenate(live), np.concatenate(([0], np.cumsum([len(x) for x in live]))), 0)
     alike = lambda i, j: _alike(patterns[i][1], patterns[j][1], patterns[i][0], patterns[j][0], least, similarity)
-    return [alike(i, i) for i in range(len(patterns))], _forest(maps, similarity / (1 + similarity) * fewest, -lost, side, alike)
+    return [alike(i, i) for i in range(len(patterns))], _forest(maps, similarity / (1 + similarity) * fewest, -lost, side, alike, _hopeful(patterns, fewest, least, similarity))
 
 
 def _groups(names: list[str], make: Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -428,7 +477,9 @@ def met_widely(windows: DataFrame, least: int = LEAST, similarity: float = SIMIL
             of = lambda name, rows: table_[name].combine_chunks().take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([of("key", i), of("hash", i), of("class", i), of("class", j), _windows(table_, i), _windows(table_, j)], ["key", "hash", "x", "y", "a", "b"])
 
-    met_ = met_.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "class")
+    # comparing takes long for its bytes, so its partitions are not to be merged
+    parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met_ = met_.repartition(parts, "key", "left", "right").sortWithinPartitions("key", "left", "right", "class")
     joined = _settled(met_.mapInArrow(_groups(["key", "left", "right"], edges), f"key long, hash int, x long, y long, a {_WINDOW}, b {_WINDOW}"))
     # all of a class hang together by its first window, or else by one of another class
     one = lambda c, w: joined.select("key", F.col(c).alias("class"), F.struct((F.col("x") != F.col("y")).alias("far"), F.col(w).alias("hub")).alias("h"))

@@ -150,6 +150,49 @@ def test_large_groups_have_the_components_of_all_pairs(spark):
     assert found[0] == found[1] and {i: r for i, r in found[0].items()} == {i: i - i % 4 for i in range(48)}
 
 
+def test_few_searches_where_no_passage_is_shared(monkeypatch):
+    """Patterns that have many shingles in common, but spread too thinly for a passage, are told apart without a search for each pair."""
+    rng = np.random.default_rng(8)
+    base, asked = rng.integers(1, 1 << 32, 146).astype(np.uint32), []
+    patterns = []
+    for _ in range(60):
+        x = base.copy()
+        for k in range(0, 146, 10):  # a word changed about every tenth leaves 0.5 of the shingles
+            k += int(rng.integers(5))
+            x[k : k + 5] = rng.integers(1, 1 << 32, len(x[k : k + 5]))
+        patterns.append((73, x))
+    alike = passages._alike
+    monkeypatch.setattr(passages, "_alike", lambda *x: asked.append(1) or alike(*x))
+    _, edges = passages._joined(patterns, np.full(60, 46), np.zeros(60), 46, 0.8)
+    assert not edges and len(asked) <= 60 + 60 * 59 // 2 // 4
+
+
+def test_no_passage_is_given_up_unsearched():
+    """Whatever a search finds, the bound that saves searches lets through: changed, moved, repeated and short patterns."""
+    rng = np.random.default_rng(3)
+    base, patterns = rng.integers(1, 1 << 32, 160).astype(np.uint32), []
+    for i in range(120):
+        a = int(rng.integers(0, 60))
+        x = base[a : a + int(rng.integers(30, 100))].copy()
+        if i % 4 == 0:  # few different ones
+            x = np.resize(x[: int(rng.integers(3, 12))], len(x)).astype(np.uint32)
+        for _ in range(int(rng.integers(0, 4))):
+            k, n = int(rng.integers(0, len(x))), int(rng.integers(1, 8))
+            x = np.concatenate((x[:k], np.zeros(n, np.uint32), x[k + (n if i % 3 else 0) :]))
+        patterns.append((int(rng.integers(0, len(x))), x))
+    fill = lambda x: np.concatenate((np.where(x == 0, 1 << 33 | np.arange(len(x)), x), 1 << 34 | np.arange(max(0, 46 - len(x)))))
+    fewest = np.array([passages._fewest(fill(x), 46) for _, x in patterns])
+    may = passages._hopeful(patterns, fewest, 46, 0.8)
+    found = 0
+    for i in range(len(patterns)):
+        others = np.flatnonzero(np.arange(len(patterns)) != i)
+        for j, good in zip(others.tolist(), may(i, others).tolist(), strict=True):
+            if passages._alike(patterns[i][1], patterns[j][1], patterns[i][0], patterns[j][0], 46, 0.8):
+                found += 1
+                assert good
+    assert found > 300
+
+
 def test_shuffles_leave_the_disk(spark):
     """The shuffles of a settled table are gone when it is there, not at some later collection of garbage."""
     made = lambda: {str(f) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
