@@ -709,6 +709,54 @@ def _shingles(texts: pa.Array) -> Iterator[np.ndarray]:
         yield from (s[cut[i] : cut[i + 1]] for i in range(b - a))
 
 
+def _plain_spans(left: list[np.ndarray], right: list[np.ndarray], least: int, similarity: float) -> list[list[tuple[int, int, int, int, float]] | None]:
+    """common_spans of each left and right, all at once, where no value repeats and one dense stretch lies at one shift; else None."""
+    n = len(left)
+    na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    out: list = [None] * n
+    a, b = np.concatenate(left), np.concatenate(right)
+    if not len(a) or not len(b):
+        return out
+    ra, rb = np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)
+    pa_, pb = np.arange(len(a)) - np.repeat(np.cumsum(na) - na, na), np.arange(len(b)) - np.repeat(np.cumsum(nb) - nb, nb)
+    row, value, side = np.concatenate((ra, rb)), np.concatenate((a, b)), np.repeat((False, True), (len(a), len(b)))
+    order = np.lexsort((side, value, row))
+    row, value, side = row[order], value[order], side[order]
+    same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+    plain = nb >= least
+    plain[row[1:][same & (side[1:] == side[:-1])]] = False
+    met_ = np.flatnonzero(same & ~side[:-1] & side[1:])
+    hit, place = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+    at = order[met_]
+    hit[at], place[at] = True, pb[order[met_ + 1] - len(a)]
+    total = np.concatenate(([0], np.cumsum(hit)))
+    # the first and last window that are dense, and whether all between are
+    first = np.flatnonzero(pa_ + least <= np.repeat(na, na))
+    first = first[total[first + least] - total[first] >= _shared(least, similarity)]
+    if not len(first):
+        return out
+    own = ra[first]
+    head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    tail = np.append(head[1:], len(first)) - 1
+    one = first[tail] - first[head] == tail - head
+    head, tail = head[one & plain[own[head]]], tail[one & plain[own[head]]]
+    # from the first to the last hit of the stretch, if these are `least` apart
+    hits = np.flatnonzero(hit)
+    s, e = first[head], first[tail] + least
+    x, y = np.searchsorted(hits, s), np.searchsorted(hits, e) - 1
+    wide = hits[y] + 1 - hits[x] >= least
+    lo, hi = np.where(wide, hits[x], s), np.where(wide, hits[y] + 1, e)
+    shift = place[hits] - pa_[hits]
+    turn = np.concatenate(([0], np.cumsum(shift[1:] != shift[:-1])))
+    common = y - x + 1
+    start, end = place[hits[x]], place[hits[y]] + 1
+    likeness = common / ((hi - lo) + (end - start) - common)
+    good = (turn[x] == turn[y]) & (likeness >= similarity - 1e-9)
+    for i, *span in zip(own[head][good].tolist(), pa_[lo][good].tolist(), (pa_[hi - 1] + 1)[good].tolist(), start[good].tolist(), end[good].tolist(), likeness[good].tolist(), strict=True):
+        out[i] = [tuple(span)]
+    return out
+
+
 def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similarity: float = SIMILARITY, block: int = BLOCK, together: int = 64) -> DataFrame:
     """together: candidates of one stretch of the lesser document that one task verifies."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -730,10 +778,13 @@ def passages(docs: DataFrame, hashes: int = HASHES, least: int = LEAST, similari
         for batch in batches:
             out = []
             ids, others, starts, starts2 = (batch.column(k).to_pylist() for k in range(4))
-            for i, (a, b) in enumerate(zip(_shingles(batch.column(4)), _shingles(batch.column(5)), strict=True)):
-                for s, e, s2, e2, likeness in common_spans(a, b, least, similarity):
-                    o, o2 = starts[i], starts2[i]
-                    out.append((ids[i], o + s, o + e + WORDS - 1, others[i], o2 + s2, o2 + e2 + WORDS - 1, likeness))
+            left, right = list(_shingles(batch.column(4))), list(_shingles(batch.column(5)))
+            for k in range(0, len(left), 256):
+                many = _plain_spans(left[k : k + 256], right[k : k + 256], least, similarity)
+                for i, spans in enumerate(many, k):
+                    for s, e, s2, e2, likeness in common_spans(left[i], right[i], least, similarity) if spans is None else spans:
+                        o, o2 = starts[i], starts2[i]
+                        out.append((ids[i], o + s, o + e + WORDS - 1, others[i], o2 + s2, o2 + e2 + WORDS - 1, likeness))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

@@ -193,6 +193,26 @@ def test_no_passage_is_given_up_unsearched():
     assert found > 300
 
 
+def test_plain_pairs_at_once():
+    """Pairs verified all at once have the passages that a search of each alone finds, and most that share one are plain."""
+    rng = np.random.default_rng(5)
+    word = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    left, right = [word(0), word(60), word(50)], [word(60), word(0), word(10)]
+    for i in range(1500):
+        p = word(int(rng.integers(30, 110)))
+        q = p.copy()
+        for _ in range(int(rng.integers(0, 3))):
+            k, n = int(rng.integers(0, len(q))), int(rng.integers(0, 8))
+            q = np.concatenate((q[:k], word(n), q[k + (n if i % 3 else 0) :]))
+        q = np.concatenate((q, q[:20])) if i % 17 == 0 else q
+        left.append(np.concatenate((word(int(rng.integers(0, 30))), p, word(int(rng.integers(0, 30))))))
+        right.append(np.concatenate((word(int(rng.integers(0, 30))), q, word(int(rng.integers(0, 30))))))
+    alone = [passages.common_spans(a, b) for a, b in zip(left, right, strict=True)]
+    many = passages._plain_spans(left, right, passages.LEAST, passages.SIMILARITY)
+    assert all(x is None or x == y for x, y in zip(many, alone, strict=True))
+    assert sum(x is not None for x in many) > 0.6 * sum(map(bool, alone)) > 300
+
+
 def test_shuffles_leave_the_disk(spark):
     """The shuffles of a settled table are gone when it is there, not at some later collection of garbage."""
     made = lambda: {str(f) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
