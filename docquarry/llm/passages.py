@@ -404,6 +404,11 @@ def met(windows: DataFrame, least: int = LEAST, similarity: float = SIMILARITY)
     return dealt.mapInArrow(_groups(["key"], pairs), f"hash int, a {_WINDOW}, b {_WINDOW}")
 
 
+def _parts(n: np.ndarray, block: int) -> np.ndarray:
+    """Parts of the shingles of groups of n windows: one task sorts as many as 8 blocks have, some MB, since each window has a row in every part."""
+    return np.ceil(n / (8 * block)).astype(_U)
+
+
 def met_widely(windows: DataFrame, least: int = LEAST, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The same of groups that many tasks share.
 
@@ -419,7 +424,7 @@ def met_widely(windows: DataFrame, least: int = LEAST, similarity: float = SIMIL
             row = np.repeat(np.arange(len(size)), size)
             flat = np.frombuffer(b"".join(shingles), np.uint32)
             where = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.maximum(l - c, 1 - reach)[row]
-            part = tn.mix(flat.astype(_U)) % np.ceil(n / block).astype(_U)[row]
+            part = tn.mix(flat.astype(_U)) % _parts(n, block)[row]
             order = np.lexsort((part, row))
             row, part, value = row[order], part[order].astype(np.int32), ((where + (1 << 20)) << 32 | flat.astype(np.int64))[order]
             head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (part[1:] != part[:-1]))))

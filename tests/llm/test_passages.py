@@ -213,6 +213,13 @@ def test_plain_pairs_at_once():
     assert sum(x is not None for x in many) > 0.6 * sum(map(bool, alone)) > 300
 
 
+def test_windows_have_few_rows_in_parts():
+    """A window has a row in every part of its group, so parts are as large as one task sorts with ease."""
+    n = np.array([513, 4096, 4097, 20_660])
+    parts = passages._parts(n, 512).astype(int)
+    assert parts.tolist() == [1, 1, 2, 6] and (n / parts <= 8 * 512).all()
+
+
 def test_shuffles_leave_the_disk(spark):
     """The shuffles of a settled table are gone when it is there, not at some later collection of garbage."""
     made = lambda: {str(f) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
