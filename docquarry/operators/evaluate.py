@@ -9,6 +9,8 @@ from docquarry.operators.search import top
 
 CATEGORIES = ("wrong chunk", "bad table", "hallucination", "multi-hop", "over-abstention", "incomplete answer")
 KS = (3, 5, 10, 20)
+#: What a row of flagged_citation_scores may be.
+FLAGS = ("cited", "gold", "hit")
 
 
 def evidence_ranks(evidence: DataFrame, hits: DataFrame) -> DataFrame:
@@ -61,16 +63,21 @@ def citation_scores(cited: DataFrame, evidence: DataFrame, hits: DataFrame) -> D
 
     cited (qid, c, company, year, pages) has canonical companies; unknown ones match nothing.
     """
-    same = lambda a, b: (F.col(f"{a}.qid") == F.col(f"{b}.qid")) & (F.col(f"{a}.company") == F.col(f"{b}.company")) & (F.col(f"{a}.year") == F.col(f"{b}.year")) & F.arrays_overlap(F.col(f"{a}.pages"), F.col(f"{b}.pages"))
-    c, e, h = cited.alias("c"), evidence.alias("e"), hits.alias("h")
-    correct = c.join(e, same("c", "e"), "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("citations_correct"))
-    gold = e.join(c, same("e", "c"), "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("gold_cited"))
-    seen = c.join(h, same("c", "h"), "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("citations_retrieved"))
-    out = evidence.groupBy("qid").agg(F.count(F.lit(1)).alias("gold_total"))
-    out = out.join(cited.groupBy("qid").agg(F.count(F.lit(1)).alias("n_citations")), "qid", "full")
-    for part in (correct, gold, seen):
-        out = out.join(part, "qid", "left")
-    return out.fillna(0, [x for x in out.columns if x != "qid"])
+    rows = [df.select("qid", "company", "year", "pages", *(F.lit(flag == of).alias(flag) for flag in FLAGS)) for of, df in zip(FLAGS, (cited, evidence, hits), strict=True)]
+    return flagged_citation_scores(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
+def flagged_citation_scores(rows: DataFrame) -> DataFrame:
+    """citation_scores of one table (qid, company, year, pages) whose flags say what a row is: cited, gold, hit, or several of them."""
+    pages = [F.collect_list(F.when(F.col(flag), F.coalesce("pages", F.array().cast("array<string>")))).alias(flag) for flag in FLAGS]
+    groups = rows.groupBy("qid", "company", "year").agg(*pages)
+    known = F.col("company").isNotNull() & F.col("year").isNotNull()
+    met = lambda a, b: F.when(known, F.size(F.filter(a, lambda x: F.exists(b, lambda y: F.arrays_overlap(x, y))))).otherwise(0)
+    counts = {
+        "gold_total": F.size("gold"), "n_citations": F.size("cited"), "citations_correct": met("cited", "gold"), "gold_cited": met("gold", "cited"), "citations_retrieved": met("cited", "hit"),
+    }
+    out = groups.groupBy("qid").agg(*(F.sum(x.cast("long")).alias(c) for c, x in counts.items()))
+    return out.where("gold_total > 0 or n_citations > 0")
 
 
 def grade_summary(answers: DataFrame) -> DataFrame:
