@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,9 @@ BODY, OVERLAP, HEADER, WHOLE, SOFT = 450, 75, 60, 512, 200
 SENTENCE_END = re.compile(r'(?<=[.!?;])\s+(?=["“(]?[A-Z0-9])')
 
 PACKED = "doc_id long, n int, part int, body string, first_block int, last_block int"
+#: What a chunk needs of each block it touches, carried along by blocks that have all of it.
+TOUCHED = ("block_seq", "page", "page_seq", "section", "item")
+AT = "at array<struct<block_seq int, page string, page_seq int, section string, item string>>"
 
 
 class WordTokenizer:
@@ -50,14 +54,18 @@ def windows(docs: DataFrame, size: int = BODY, overlap: int = OVERLAP) -> DataFr
 
 def fixed_chunks(blocks: DataFrame, size: int = BODY, overlap: int = OVERLAP) -> DataFrame:
     """Windows over the narrative of each document, its blocks joined by line ends; with the first and last block each touches."""
-    told = blocks.where(F.col("kind") != "table").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_seq", "text"))).alias("blocks"))
+    carried = TOUCHED if set(TOUCHED) <= set(blocks.columns) else ("block_seq",)
+    told = blocks.where(F.col("kind") != "table").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*carried, "text"))).alias("blocks"))
     lead = lambda k: F.when(k == 0, F.lit("\n")).otherwise(F.lit(" "))
     tokens = F.flatten(F.transform("blocks", lambda b: F.transform(word_tokens(b["text"]), lambda t, k: F.struct(F.concat(lead(k), t).alias("t"), b["block_seq"].alias("b")))))
-    cut = told.select("doc_id", tokens.alias("tokens")).withColumn("size", F.size("tokens"))
-    spread = cut.select("doc_id", "tokens", F.posexplode(window_starts(F.col("size"), size, overlap)).alias("n", "start"))
-    part = spread.select("doc_id", "n", F.slice("tokens", F.col("start") + 1, F.lit(size)).alias("part"))
-    text = F.array_join(F.transform("part", lambda p: p["t"]), "")
-    return part.select("doc_id", "n", F.lit(0).alias("part"), F.substring(text, F.lit(2), F.length(text)).alias("body"), F.col("part")[0]["b"].alias("first_block"), F.element_at("part", -1)["b"].alias("last_block"))
+    seen = F.transform("blocks", lambda b: F.struct(*(b[c].alias(c) for c in carried)))
+    cut = told.select("doc_id", seen.alias("seen"), tokens.alias("tokens")).withColumn("size", F.size("tokens"))
+    spread = cut.select("doc_id", "seen", "tokens", F.posexplode(window_starts(F.col("size"), size, overlap)).alias("n", "start"))
+    part = spread.select("doc_id", "n", "seen", F.slice("tokens", F.col("start") + 1, F.lit(size)).alias("taken"))
+    text, first, last = F.array_join(F.transform("taken", lambda p: p["t"]), ""), F.col("taken")[0]["b"], F.element_at("taken", -1)["b"]
+    out = [F.lit(0).alias("part"), F.substring(text, F.lit(2), F.length(text)).alias("body"), first.alias("first_block"), last.alias("last_block")]
+    at = [F.filter("seen", lambda b: b["block_seq"].between(first, last)).alias("at")] if carried == TOUCHED else []
+    return part.select("doc_id", "n", *out, *at)
 
 
 def side_by_side(text: str, tokens: WordTokenizer, size: int) -> list[str]:
@@ -145,24 +153,30 @@ def split_table(caption: str, head: list[str], rows: list[str], tokens: WordToke
     return [cut_tokens("\n".join([*top, *(rows[i] for i in run)]), tokens, size) for run in runs]
 
 
-def _by_document(blocks: DataFrame, make: Callable[[list[dict]], Iterator[tuple]]) -> DataFrame:
-    """make() over each document's sorted blocks; a task holds one document at a time."""
+def _by_document(blocks: DataFrame, make: Callable[[list[dict]], Iterator[tuple]], carry: bool = False) -> DataFrame:
+    """make() over each document's sorted blocks; a task holds one document at a time. To `carry` adds the TOUCHED of each chunk's blocks."""
     from itertools import groupby
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in PACKED.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+        if carry:
+            names.append("at")
+            kinds.append(pa.list_(pa.struct([(c, pa.string() if c in ("page", "section", "item") else pa.int32()) for c in TOUCHED])))
         rows = (r for batch in batches for r in batch.to_pylist())
         out: list[tuple] = []
         for doc, group in groupby(rows, key=lambda r: r["doc_id"]):
-            out += [(doc, *x) for x in make(list(group))]
+            found = list(group)
+            seqs = [r["block_seq"] for r in found]
+            touched = lambda x: ([{c: r[c] for c in TOUCHED} for r in found[bisect_left(seqs, x[-2]) : bisect_right(seqs, x[-1])]],) if carry else ()  # noqa: B023, E731
+            out += [(doc, *x, *touched(x)) for x in make(found)]
             if len(out) > 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return blocks.repartition("doc_id").sortWithinPartitions("doc_id", "block_seq").mapInArrow(run, PACKED)
+    return blocks.repartition("doc_id").sortWithinPartitions("doc_id", "block_seq").mapInArrow(run, f"{PACKED}, {AT}" if carry else PACKED)
 
 
 def section_chunks(blocks: DataFrame, tokens: WordTokenizer | None = None) -> DataFrame:
@@ -172,8 +186,9 @@ def section_chunks(blocks: DataFrame, tokens: WordTokenizer | None = None) -> Da
         for n, chunk in enumerate(pack_sections(rows, tokens)):
             yield n, 0, "\n".join(piece for _, piece in chunk), chunk[0][0], chunk[-1][0]
 
-    told = blocks.where(F.col("kind") != "table").select("doc_id", "block_seq", "kind", "level", "item", "subitem", "text")
-    return _by_document(told, make)
+    carry = set(TOUCHED) <= set(blocks.columns)
+    told = blocks.where(F.col("kind") != "table").select("doc_id", "block_seq", "kind", "level", "item", "subitem", "text", *(("page", "page_seq", "section") if carry else ()))
+    return _by_document(told, make, carry)
 
 
 def table_chunks(blocks: DataFrame, tokens: WordTokenizer | None = None) -> DataFrame:
@@ -190,13 +205,18 @@ def table_chunks(blocks: DataFrame, tokens: WordTokenizer | None = None) -> Data
 def finish(packed: DataFrame, blocks: DataFrame, filings: DataFrame, strategy: str) -> DataFrame:
     """Chunk rows: id, header and body, the pages touched in order, and metadata from the first block.
 
-    filings (doc_id, filing, company, full_name, year) is a dimension.
+    filings (doc_id, filing, company, full_name, year) is a dimension. Packed rows that carry
+    what their blocks say (`at`) need no second pass over the blocks.
     """
-    kind = F.col("kind") == "table" if strategy == "table" else F.col("kind") != "table"
-    b = blocks.where(kind).select(F.col("doc_id").alias("b_doc"), "block_seq", "page", "page_seq", "section", "item")
-    touched = packed.join(b, (F.col("doc_id") == F.col("b_doc")) & F.col("block_seq").between(F.col("first_block"), F.col("last_block")))
-    at = F.array_sort(F.collect_list(F.struct("block_seq", "page", "page_seq", "section", "item")))
-    rows = touched.groupBy("doc_id", "n", "part").agg(F.first("body").alias("body"), at.alias("at")).join(filings, "doc_id")
+    if "at" in packed.columns:
+        rows = packed
+    else:
+        kind = F.col("kind") == "table" if strategy == "table" else F.col("kind") != "table"
+        b = blocks.where(kind).select(F.col("doc_id").alias("b_doc"), "block_seq", "page", "page_seq", "section", "item")
+        touched = packed.join(b, (F.col("doc_id") == F.col("b_doc")) & F.col("block_seq").between(F.col("first_block"), F.col("last_block")))
+        at = F.array_sort(F.collect_list(F.struct("block_seq", "page", "page_seq", "section", "item")))
+        rows = touched.groupBy("doc_id", "n", "part").agg(F.first("body").alias("body"), at.alias("at"))
+    rows = rows.join(filings, "doc_id")
     form = "%s:table:%04d:%d" if strategy == "table" else f"%s:{strategy}:%05d"
     chunk_id = F.format_string(form, "filing", "n", *(["part"] if strategy == "table" else []))
     first = F.col("at")[0]

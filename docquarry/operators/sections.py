@@ -65,8 +65,9 @@ def with_sections(blocks: DataFrame) -> DataFrame:
     Acceptance is a running maximum, since the last accepted key is the largest candidate so
     far, and filling forward is the last value so far; no row-by-row state is needed.
     """
-    heads = running_headers(blocks).withColumn("running", F.lit(True))
-    rows = blocks.join(heads, ["doc_id", "text"], "left")
+    head = F.when(F.col("is_bold") & (F.length("text") <= HEADING_CHARS), F.col("page_seq"))
+    pages = F.size(F.collect_set(head).over(Window.partitionBy("doc_id", "text")))  # running_headers without a second parse of the blocks
+    rows = blocks.withColumn("running", F.when(pages >= RUNNING_PAGES, F.lit(True)))
     text, short = F.col("text"), F.length("text") <= HEADING_CHARS
     is_text = F.col("kind") == "text"
     upper = (F.upper(text) == text) & (F.lower(text) != text)
